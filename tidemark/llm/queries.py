@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as _quality
+from . import sharding as _sharding
+from . import url_filters as _urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=8)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.url_filters(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op6_sharding": op6_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_url_filters": op10_url_filters,
 }
 
 _STOPS = ", ".join(f"'{f}'" for s in _quality.STOP_WORDS for f in (s, s.capitalize()))
@@ -29,7 +41,7 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
 ), w AS (
   SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lw
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lw
   FROM d
 ), p AS (
   SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w
@@ -48,7 +60,7 @@ WITH d AS (
          (len(lw) - len(list_distinct(lw)))::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          len(lw) AS n_lines, len(regexp_extract_all(t, '!')) AS n_excl,
-         len(list_filter(list_distinct(w), x -> list_contains([{_STOPS}], x))) AS n_stop
+         len(list_filter(list_distinct(w), lambda x: list_contains([{_STOPS}], x))) AS n_stop
   FROM w LEFT JOIN c USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
