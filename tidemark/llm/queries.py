@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as _quality
 from . import sharding as _sharding
+from . import substring_dedup as _substring
 from . import url_filters as _urls
 
 
@@ -19,6 +20,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=8)
 
@@ -28,6 +33,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_sharding": op6_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,

@@ -32,6 +32,8 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    # shuffle files of finished steps go when the driver's JVM notices that nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
