@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe as _bpe
 from . import quality_rules as _quality
 from . import sharding as _sharding
 from . import substring_dedup as _substring
 from . import url_filters as _urls
 
 
+def tokenizer_path() -> str:
+    """The rank file of the 50,256-token byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,6 +32,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.byte_bpe(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=8)
 
@@ -34,6 +46,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_sharding": op6_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
