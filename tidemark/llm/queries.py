@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe as _bpe
+from . import jaccard_join as _jaccard
 from . import quality_rules as _quality
 from . import sharding as _sharding
 from . import substring_dedup as _substring
@@ -23,6 +24,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _quality.quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_sharding": op6_sharding,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
