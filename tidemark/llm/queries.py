@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import byte_bpe as _bpe
 from . import decontamination as _decontamination
 from . import jaccard_join as _jaccard
+from . import language_id as _language
+from . import license_scans as _licenses
 from . import quality_rules as _quality
 from . import sharding as _sharding
 from . import substring_dedup as _substring
@@ -46,6 +48,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.byte_bpe(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(_read(spark, sf_dir, "documents"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=8)
 
@@ -58,6 +68,8 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_license_scans": op5_license_scans,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
