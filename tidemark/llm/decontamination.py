@@ -39,7 +39,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
 from .textops import LOWER, U, Words, grams, mix, ranges, steps, text_bytes
 
 SIMILARITY, MIN_WORDS = 0.8, 5
@@ -250,25 +249,44 @@ def _scan(shipped):
     return f
 
 
+def _clean(shipped, text: str):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = shipped.value
+        for big in batches:
+            for batch in steps(big, text):
+                ok = np.ones(batch.num_rows, bool)
+                ok[bench.matches(*text_bytes(batch.column(text)))["text"]] = False
+                yield batch.filter(pa.array(ok))
+
+    return f
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, similarity: float, min_words: int) -> Iterator[Benchmark]:
+    """The benchmark in blocks of about BLOCK_WORDS words; one at a time is on the driver."""
+    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    words = items.agg(F.sum(F.size(F.split("t", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    blocks = int(words // BLOCK_WORDS) + 1
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    for b in range(blocks):
+        yield Benchmark([(r["i"], r["t"]) for r in dealt.filter(F.col("block") == b).collect()], similarity, min_words)
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, n_words, start_byte, end_byte``: the best window of each document
     for each item that contaminates it."""
-    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    words = items.agg(F.sum(F.size(F.split("t", r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    blocks = int(words // BLOCK_WORDS) + 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     out = None
-    for b in range(blocks):
-        shipped = spark.sparkContext.broadcast(Benchmark([(r["i"], r["t"]) for r in dealt.filter(F.col("block") == b).collect()], similarity, min_words))
+    for bench in _blocks(benchmark, item_id, item_text, similarity, min_words):
+        shipped = df.sparkSession.sparkContext.broadcast(bench)
         hits = docs.mapInArrow(_scan(shipped), "doc_id long, item_id long, distance long, n_words long, start_byte long, end_byte long")
         out = hits if out is None else out.union(hits)
     return out if doc_id == "doc_id" else out.withColumnRenamed("doc_id", doc_id)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``df`` without its contaminated documents (rows with a null id stay)."""
-    bad = table(contaminated(df, benchmark, doc_id, **how).select(F.col(doc_id).alias("_bad")).distinct())
-    return df.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """``df`` without its contaminated rows."""
+    for bench in _blocks(benchmark, item_id, item_text, similarity, min_words):
+        df = df.mapInArrow(_clean(df.sparkSession.sparkContext.broadcast(bench), text), df.schema)
+    return df

@@ -270,3 +270,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = components(linked.union(member.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
     out = all_sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return out.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``df`` with one document of each component, the one with the smallest id (rows that share this id stay
+    together); rows with a null id stay."""
+    gone = jaccard_components(df, doc_id, text, **how).filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
+    return df.join(table(gone), F.col(doc_id) == F.col("_gone"), "left_anti")

@@ -65,9 +65,9 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, found[at]
 
 
-def _texts(batch: pa.RecordBatch):
-    """The texts of a batch, null as empty, decoded one by one."""
-    raw, off = text_bytes(batch.column("text"))
+def _texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
+    """The texts of a batch, null as empty."""
+    raw, off = text_bytes(batch.column(text))
     data = raw.tobytes()
     return [data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
@@ -210,3 +210,20 @@ def language_id(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """``doc_id, held_out, lang_pred, score``: learned from fold 0 and 2, predicted for all rows."""
     model = train(df.filter(fold(doc_id) != 1), text, lang, doc_id)
     return predict(df, model, doc_id, text).select(doc_id, (fold(doc_id) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _keep(shipped, text: str, min_score: float):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for big in batches:
+            for batch in steps(big, text):
+                p = [model.predict(t) for t in _texts(batch, text)]
+                yield batch.filter(pa.array([name != "und" and score >= min_score for name, score in p], pa.bool_()))
+
+    return f
+
+
+def keep_identified(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.4) -> DataFrame:
+    """The rows of ``df`` whose language is identified with ``min_score``; the rest have no letters or too mixed ones."""
+    model = train(df.filter(fold(doc_id) != 1), text, lang, doc_id)
+    return df.mapInArrow(_keep(df.sparkSession.sparkContext.broadcast(model), text, min_score), df.schema)

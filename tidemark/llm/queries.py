@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe as _bpe
 from . import decontamination as _decontamination
+from . import html_extraction as _html
 from . import jaccard_join as _jaccard
 from . import language_id as _language
 from . import license_scans as _licenses
@@ -31,6 +32,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.html_extraction(_read(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _quality.quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_license_scans": op5_license_scans,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
 }

@@ -275,40 +275,77 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (oi, ot, of, ol)], ["id", "th", "first", "last"])
 
 
-def _emit_kept(width: int, with_text: bool):
-    names = ["row", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
-
+def _kept_runs(w: Words, d: int, spans, width: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """(words, removed words, runs of kept words) of text ``d``."""
+    n = int(w.first[d + 1] - w.first[d])
+    edge = np.zeros(n + 1, np.int32)
+    for s in spans or ():
+        if s["first"] < n:
+            edge[s["first"]] += 1
+            edge[min(n, s["last"] + width)] -= 1
+    gone = np.cumsum(edge[:n]) > 0
+    x = np.diff(np.concatenate(([0], (~gone).view(np.int8), [0])))
+    return n, int(gone.sum()), list(zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True))
+
+
+def _emit_kept(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in steps(big):
                 raw, off = text_bytes(batch.column("text"))
-                w, out = Words(raw, off), []
-                count, spans = w.count(), batch.column("spans")
-                data = raw.tobytes()
-                for d, row in enumerate(batch.column("row").to_pylist()):
-                    a, n = w.first[d], int(count[d])
-                    gone = np.zeros(n + 1, np.int32)
-                    for s in spans[d].as_py() or ():
-                        if s["first"] < n:
-                            gone[s["first"]] += 1
-                            gone[min(n, s["last"] + width)] -= 1
-                    gone = np.cumsum(gone[:n]) > 0
-                    # runs of kept words, each one slice of the text
-                    x = np.diff(np.concatenate(([0], (~gone).view(np.int8), [0])))
-                    st, en = w.start[a : a + n], w.end[a : a + n]
-                    kept = b" ".join(_joined(data, st, en, i, j) for i, j in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True))
-                    r = [row, n, int(gone.sum()), hashlib.sha256(kept).hexdigest()]
-                    out.append(r + [kept.decode()] if with_text else r)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+                w, data, spans = Words(raw, off), raw.tobytes(), batch.column("spans")
+                out: list[list] = [[], [], []]
+                for d in range(batch.num_rows):
+                    n, gone, runs = _kept_runs(w, d, spans[d].as_py(), width)
+                    st, en = w.start[w.first[d] :], w.end[w.first[d] :]
+                    kept = b" ".join(_joined(data, st, en, i, j) for i, j in runs)
+                    for col, v in zip(out, (n, gone, hashlib.sha256(kept).hexdigest()), strict=True):
+                        col.append(v)
+                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", "n_words", "n_removed", "kept_sha256"])
 
     return f
 
 
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of every row, and ``kept_text`` on demand."""
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    spans = shared_windows(docs, width)
-    schema = "row long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    out = docs.join(spans, ["id", "th"], "left").select(F.col("id").alias("row"), "text", "spans").mapInArrow(_emit_kept(width, with_text), schema)
-    return out.withColumnRenamed("row", doc_id)
+def _emit_cut(width: int, text: str, n_chars: str | None):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in steps(big, text):
+                raw, off = text_bytes(batch.column(text))
+                w, data, spans, old = Words(raw, off), raw.tobytes(), batch.column("_spans"), batch.column(text)
+                texts = []
+                for d in range(batch.num_rows):
+                    got = spans[d].as_py()
+                    if not got:
+                        texts.append(old[d].as_py())
+                        continue
+                    _, _, runs = _kept_runs(w, d, got, width)
+                    st, en = w.start[w.first[d] :], w.end[w.first[d] :]
+                    texts.append(b"\n".join(data[st[i] : en[j - 1]] for i, j in runs).decode())
+                new = {text: pa.array(texts, pa.string())}
+                if n_chars:
+                    new[n_chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                names = [n for n in batch.schema.names if n != "_spans"]
+                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+
+    return f
+
+
+def _keyed(doc_id: str, text: str):
+    return F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text")
+
+
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
+    docs = df.select(*_keyed(doc_id, text))
+    out = docs.join(shared_windows(docs, width), ["id", "th"], "left").select("id", "text", "spans")
+    return out.mapInArrow(_emit_kept(width), "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", doc_id)
+
+
+def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", width: int = WIDTH) -> DataFrame:
+    """``df`` with repeated words cut out of its texts: runs of kept words as they stood, one line each.
+    Texts without any stay as they are.  ``n_chars`` (a long column) follows the text."""
+    spans = shared_windows(df.select(*_keyed(doc_id, text)), width).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    i, th, _ = _keyed(doc_id, text)
+    rows = df.join(spans, (i == F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
+    return rows.mapInArrow(_emit_cut(width, text, n_chars), df.schema)
