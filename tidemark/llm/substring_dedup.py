@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import drop, table
 from .textops import U, Words, grams, ranges, steps, text_bytes
 
 WIDTH, ANCHOR = 13, 5
@@ -249,30 +249,40 @@ def shared_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         own.join(by_doc, "id").mapInArrow(_emit_segments(width), "route long, id long, th long, start long, seg string")
         .select("*", F.xxhash64("seg").alias("k1"), F.xxhash64(F.lit("b"), "seg").alias("k2"))
     )
+    drop(docs.sparkSession, by_doc)
     one = table(segments.groupBy("route", "seg").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("id").alias("least")))
     words = one.agg(F.sum(F.size(F.split("seg", " ")))).first()[0] or 0
     shards = int(words // SHARD_WORDS) + 1
     answers = one.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_search_shard(width), "k1 long, k2 long, firsts binary")
     answers = table(answers)
+    drop(docs.sparkSession, one)
     hits = segments.select("k1", "k2", "id", "th", "start").join(answers, ["k1", "k2"]).mapInArrow(_emit_runs, "id long, th long, first long, last long")
-    return table(hits.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    spans = table(hits.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    drop(docs.sparkSession, segments)
+    drop(docs.sparkSession, answers)
+    return spans
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows whose smallest id lies below the document's, all rows of a batch at once."""
     for batch in batches:
         ids, ths, starts = (batch.column(c).to_numpy() for c in ("id", "th", "start"))
-        oi, ot, of, ol = [], [], [], []
-        for i, b in enumerate(batch.column("firsts")):
-            less = np.frombuffer(b.as_buffer(), np.int64) < ids[i]
-            if less.any():
-                x = np.diff(np.concatenate(([0], less.view(np.int8), [0])))
-                f, e = np.flatnonzero(x == 1) + starts[i], np.flatnonzero(x == -1) + starts[i] - 1
-                of.append(f)
-                ol.append(e)
-                oi.append(np.full(len(f), ids[i]))
-                ot.append(np.full(len(f), ths[i]))
-        if of:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (oi, ot, of, ol)], ["id", "th", "first", "last"])
+        firsts = batch.column("firsts").cast(pa.large_binary())
+        off = np.frombuffer(firsts.buffers()[1], np.int64, len(firsts) + 1, firsts.offset * 8)
+        least = np.frombuffer(firsts.buffers()[2], np.int64, (off[-1] - off[0]) // 8, off[0]) if len(firsts) else off[:0]
+        size = np.diff(off) // 8
+        row = np.repeat(np.arange(len(ids)), size)
+        begin = (off[:-1] - off[0]) // 8
+        less = np.concatenate(([False], least < ids[row], [False]))
+        edge = np.zeros(len(less), bool)  # a row's windows begin here
+        edge[begin[size > 0] + 1] = True
+        edge[-1] = True
+        up = np.flatnonzero(less[1:] & (~less[:-1] | edge[1:]))
+        down = np.flatnonzero(less[:-1] & (~less[1:] | edge[1:])) - 1
+        if len(up):
+            r = row[up]
+            place = starts[r] - begin[r]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], ths[r], up + place, down + place)], ["id", "th", "first", "last"])
 
 
 def _kept_runs(w: Words, d: int, spans, width: int) -> tuple[int, int, list[tuple[int, int]]]:
