@@ -121,5 +121,94 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND n_stop >= 1 AND 100 * n_dup_lines <= 40 * n_lines
          AND 100 * n_repeat_words <= 50 * n_words AS kept
 FROM m
+""",
+    "op2_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
+), w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d
+), g AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM w WHERE len(w) >= 13 AND doc_id IS NOT NULL)
+), f AS (
+  SELECT g, min(doc_id) AS first FROM g GROUP BY g
+), gone AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 12)) AS i FROM g JOIN f USING (g) WHERE first < doc_id
+), gr AS (
+  SELECT r, list(i) AS gi FROM gone GROUP BY r
+), p AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w
+), k AS (
+  SELECT p.r, string_agg(x, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN gone ON gone.r = p.r AND gone.i = p.i WHERE gone.r IS NULL GROUP BY p.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gi), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN gr USING (r) LEFT JOIN k USING (r)
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)
+), e AS (
+  SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l
+), c AS (
+  SELECT doc_id AS u, doc_id AS c FROM w
+  UNION
+  SELECT e.v, c.c FROM c JOIN e ON e.u = c.u WHERE c.c < e.v
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(c) AS c FROM c GROUP BY u) m ON m.u = w.doc_id
+""",
+    "op10_url_filters": r"""
+WITH a AS (
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, r, regexp_extract(rest, '^([^/?#]*)', 1) AS h, rest FROM a
+), c AS (
+  SELECT page_id, r, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^([^?#]*)', 1) AS path FROM b
+), rules(verdict, rh, rp) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), m AS (
+  SELECT c.r, arg_max(rh || rp, length(rh) * 10000 + length(rp)) AS rule, arg_max(verdict, length(rh) * 10000 + length(rp)) AS rv
+  FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY c.r
+), g AS (
+  SELECT c.*, rule, rv, list_filter(string_split(path, '/'), lambda s: s <> '') AS sg FROM c LEFT JOIN m USING (r)
+), t AS (
+  SELECT *, CASE WHEN regexp_matches(coalesce(sg[1], ''), '[0-9]') THEN '*' ELSE coalesce(sg[1], '') END AS s0,
+         CASE WHEN regexp_matches(coalesce(sg[2], ''), '[0-9]') THEN '*' ELSE coalesce(sg[2], '') END AS s1,
+         CASE WHEN regexp_matches(coalesce(sg[3], ''), '[0-9]') THEN '*' ELSE coalesce(sg[3], '') END AS s2,
+         CASE WHEN len(sg) > 3 THEN '**' ELSE '' END AS more
+  FROM g
+), u0 AS (
+  SELECT *, CASE WHEN s0 <> '' AND (SELECT count(DISTINCT s0) FROM t x WHERE x.host = t.host) > 20 THEN '*' ELSE s0 END AS t0 FROM t
+), w1 AS (SELECT host, t0, count(DISTINCT s1) AS n FROM u0 GROUP BY ALL),
+u1 AS (
+  SELECT u0.*, CASE WHEN s1 <> '' AND n > 20 THEN '*' ELSE s1 END AS t1 FROM u0 JOIN w1 USING (host, t0)
+), w2 AS (SELECT host, t0, t1, count(DISTINCT s2) AS n FROM u1 GROUP BY ALL),
+u2 AS (
+  SELECT u1.*, CASE WHEN s2 <> '' AND n > 20 THEN '*' ELSE s2 END AS t2 FROM u1 JOIN w2 USING (host, t0, t1)
+), p AS (
+  SELECT host, t0, t1, t2, more, count(*) FILTER (rv = 'block') AS nb, count(rv) AS n,
+         CASE WHEN t0 NOT IN ('', '*') THEN 0 WHEN t1 NOT IN ('', '*') THEN 1 WHEN t2 NOT IN ('', '*') THEN 2 ELSE -1 END AS f
+  FROM u2 GROUP BY host, t0, t1, t2, more
+), q AS (
+  SELECT *, CASE WHEN f = 0 THEN '*' ELSE t0 END AS g0, CASE WHEN f = 1 THEN '*' ELSE t1 END AS g1, CASE WHEN f = 2 THEN '*' ELSE t2 END AS g2 FROM p
+), x AS (
+  SELECT *, sum(nb) FILTER (n >= 3) OVER fam / sum(n) FILTER (n >= 3) OVER fam AS pr FROM q WINDOW fam AS (PARTITION BY host, g0, g1, g2, more)
+), y AS (
+  SELECT *, n >= 3 AND (nb - n * pr) * (nb - n * pr) <= 1.96 * 1.96 * n * pr * (1 - pr) + 1e-9 AS near FROM x
+), z AS (
+  SELECT *, CASE WHEN near THEN sum(nb) FILTER (near) OVER fam ELSE nb END AS mb, CASE WHEN near THEN sum(n) FILTER (near) OVER fam ELSE n END AS mn
+  FROM y WINDOW fam AS (PARTITION BY host, g0, g1, g2, more)
+)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN mb + 1 >= 0.8 * (mn + 2) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u2 JOIN z USING (host, t0, t1, t2, more)
 """,
 }
