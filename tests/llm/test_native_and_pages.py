@@ -34,7 +34,7 @@ def test_quality_edges(docs_of, edges, words):
         r = got[i][0]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (0, 0, 0, 0, 0, True, False)
     assert (got[10][0]["n_repeat_words"], got[14][0]["n_repeat_words"]) == (6, 4)
-    assert (got[11][0]["n_dup_lines"], got[12][0]["n_symbols"], got[12][0]["word_chars"]) == (2, 7, 12)
+    assert (got[11][0]["n_dup_lines"], got[12][0]["n_symbols"], got[12][0]["word_chars"]) == (2, 7, 11)
     assert got[13][0]["n_words"] == 20_000 and got[15][0]["kept"] and not got[15][0]["base_failed"]
     assert quality_rules.quality_rules(docs_of(rows).limit(0)).count() == 0
 

@@ -176,8 +176,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for name, n in counts.items():
         share = F.lit(int(min(1.0, per_language / n) * ((1 << 31) - 1)))
         chosen = chosen | ((F.col("lang") == name) & (F.shiftrightunsigned("h", 33) <= share))
-    got = rows.filter(chosen).mapInArrow(_sample_features, "lang string, h long, at binary, n binary").limit(2 * per_language * max(1, len(counts))).collect()
-    got.sort(key=lambda r: (r["h"], r["lang"]))
+    got = rows.filter(chosen).mapInArrow(_sample_features, "lang string, h long, at binary, n binary").orderBy("h", "lang").limit(2 * per_language * max(1, len(counts))).collect()
     samples = [(np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.int64), r["lang"], r["h"] % 5 == 0) for r in got]
     return fit(samples, idf)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,22 +39,34 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, df: DataFrame | None = None) -> None:
-    """Delete one table made by :func:`table`, or with no ``df`` all of this
-    application.  Frames that still read a deleted table fail, so a table goes
-    only when nothing lazy hangs on it."""
-    app = spark.sparkContext.applicationId
-    paths = _made.get(app, [])
-    if df is None:
-        gone = list(paths)
-    else:
-        files = df.inputFiles()
-        gone = [p for p in paths if any(p.split("/")[-1] in f for f in files)]
+def _delete(spark: SparkSession, gone: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
-        paths.remove(p)
+        _made[spark.sparkContext.applicationId].remove(p)
+
+
+def _paths(spark: SparkSession, frames: list[DataFrame]) -> list[str]:
+    """Tables made here that the frames read."""
+    files = {f for df in frames for f in df.inputFiles()}
+    return [p for p in _made.get(spark.sparkContext.applicationId, []) if any(p.rsplit("/", 1)[-1] in f for f in files)]
+
+
+def drop(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the tables that ``frames`` are.  Frames that still read one fail, so a table
+    goes only when nothing lazy hangs on it."""
+    _delete(spark, _paths(spark, list(frames)))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables made inside are deleted at the end, but for those that frames in the yielded list read."""
+    before = set(_made.get(spark.sparkContext.applicationId, []))
+    kept: list[DataFrame] = []
+    yield kept
+    stay = set(_paths(spark, kept))
+    _delete(spark, [p for p in _made.get(spark.sparkContext.applicationId, []) if p not in before and p not in stay])
 
 
 @atexit.register
@@ -61,6 +75,6 @@ def _drop_at_exit() -> None:
     if spark is None:
         return
     try:
-        drop(spark)
+        _delete(spark, list(_made.get(spark.sparkContext.applicationId, [])))
     except Exception:  # the JVM may be gone already; nothing is left to clean with
         pass
