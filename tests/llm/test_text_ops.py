@@ -53,7 +53,7 @@ def test_bpe_round_trip_and_offsets(docs_of, edges):
 
 # -- op1 --
 
-LOW, HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOW, HIGH = "abcdefghijklmnopqrstuvwxyzéñ", "ABCDEFGHIJKLMNOPQRSTUVWXYZÉÑ"
 UP, DOWN = str.maketrans(LOW, HIGH), str.maketrans(HIGH, LOW)
 
 

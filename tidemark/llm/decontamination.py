@@ -13,8 +13,8 @@ within ``floor((1 - similarity) * n)`` word edits of the item.
    At half the positions equal, 1 - (1 - 0.5**2)**32 = 0.9999 of pairs share one.
 3. Candidates are verified by the exact edit distance, many at once.
 
-Words are lower-cased (A-Z) and lose ASCII punctuation at both ends; what is then empty
-is no word.
+Words are lower-cased (letters of one or two UTF-8 bytes: Latin, Greek, Cyrillic) and lose
+ASCII punctuation at both ends; what is then empty is no word.
 
 The work is map-only: documents are not shuffled and a passage in a third of all
 documents costs each of them the same.  The benchmark goes to the executors in blocks
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, U, Words, grams, mix, ranges, steps, text_bytes
+from .textops import U, Words, grams, lower, mix, ranges, steps, text_bytes
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 WALKS, TABLES, SAMPLED = 8, 4, 2
@@ -54,7 +54,7 @@ class Normal:
     """Normalised words of some texts: hashes, byte spans, and ``first[d]:first[d+1]`` of text d."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
-        w = Words(LOWER[raw], off)
+        w = Words(lower(raw), off)
         start, end = w.start.copy(), w.end.copy()
         live = np.arange(len(start))
         while len(live):

@@ -22,6 +22,19 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _pw = _ipw = np.ones(1, np.uint64)
+
+
+def _lower_pairs() -> np.ndarray:
+    """Two UTF-8 bytes as a number -> those of the lower-case letter, where it has two bytes as well."""
+    t = np.arange(65536, dtype=np.uint16)
+    for cp in range(0x80, 0x800):
+        a, b = chr(cp).encode(), chr(cp).lower().encode()
+        if len(b) == 2:
+            t[a[0] << 8 | a[1]] = b[0] << 8 | b[1]
+    return t
+
+
+_LOWER_PAIR = _lower_pairs()
 #: Bytes of text that one step works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -71,6 +84,16 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         at = to
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with letters of one or two bytes lower-cased; no byte moves."""
+    out = LOWER[raw]
+    at = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+    if len(at):
+        pair = _LOWER_PAIR[out[at].astype(np.uint16) << 8 | out[at + 1]]
+        out[at], out[at + 1] = pair >> 8, pair & 0xFF
+    return out
+
+
 class Words:
     """The words of some texts: byte ``start`` and ``end`` of each, ``first[d]:first[d+1]`` those of text d."""
 
