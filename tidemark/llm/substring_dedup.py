@@ -247,16 +247,16 @@ def shared_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     segments = table(
         own.join(by_doc, "id").mapInArrow(_emit_segments(width), "route long, id long, th long, start long, seg string")
-        .select("*", F.xxhash64("seg").alias("k1"), F.xxhash64(F.lit("b"), "seg").alias("k2"))
     )
+    keys = {"k1": F.xxhash64("seg"), "k2": F.xxhash64(F.lit("b"), "seg")}  # made on reading: hashes do not compress
     drop(docs.sparkSession, by_doc)
-    one = table(segments.groupBy("route", "seg").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("id").alias("least")))
+    one = table(segments.groupBy("route", "seg").agg(F.min("id").alias("least")))
     words = one.agg(F.sum(F.size(F.split("seg", " ")))).first()[0] or 0
     shards = int(words // SHARD_WORDS) + 1
-    answers = one.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_search_shard(width), "k1 long, k2 long, firsts binary")
+    answers = one.withColumns(keys | {"shard": F.pmod(F.xxhash64("route"), F.lit(shards))}).select("shard", "seg", "least", "k1", "k2").groupBy("shard").applyInPandas(_search_shard(width), "k1 long, k2 long, firsts binary")
     answers = table(answers)
     drop(docs.sparkSession, one)
-    hits = segments.select("k1", "k2", "id", "th", "start").join(answers, ["k1", "k2"]).mapInArrow(_emit_runs, "id long, th long, first long, last long")
+    hits = segments.withColumns(keys).select("k1", "k2", "id", "th", "start").join(answers, ["k1", "k2"]).mapInArrow(_emit_runs, "id long, th long, first long, last long")
     spans = table(hits.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     drop(docs.sparkSession, segments)
     drop(docs.sparkSession, answers)
