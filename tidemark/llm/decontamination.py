@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U, Words, grams, lower, mix, ranges, steps, text_bytes
+from .textops import U, Words, grams, lower, mix, powers, ranges, steps, text_bytes
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 WALKS, TABLES, SAMPLED = 8, 4, 2
@@ -189,9 +189,18 @@ class Benchmark:
             bounds.append(np.full(len(s), k))
         if starts:
             s, n, k = map(np.concatenate, (starts, sizes, bounds))
+            # equal windows (repeated lines, one passage in many texts) are looked up once
+            pw, ipw = powers(M + 1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * pw[:M])))
+            key = mix((sums[s + n] - sums[s]) * ipw[s] + n.astype(np.uint64) * U(0x100000001B3))
+            _, one, back, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            order, begin = np.argsort(back, kind="stable"), np.cumsum(copies) - copies
             part = max(1, 1_500_000 // (self.longest + 1))
-            for i in range(0, len(s), part):
-                out += self._verify(h, s[i : i + part], n[i : i + part], k[i : i + part], part)
+            for at_ in range(0, len(one), part):
+                o = one[at_ : at_ + part]
+                for u, *found in self._verify(h, s[o], n[o], k[o], part):
+                    u = u + at_
+                    out.append((s[order[ranges(begin[u], copies[u])]], *(np.repeat(x, copies[u]) for x in found)))
         names = ("start", "item", "distance", "size")
         got = {x: np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i, x in enumerate(names)}
         got["start"] = at[got["start"]] if M else got["start"]
@@ -220,6 +229,7 @@ class Benchmark:
         return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
     def _verify(self, h: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, part: int) -> list[tuple]:
+        """(window, item, distance, words) arrays of the windows (starts ``s``) within their bounds ``k``."""
         windows = _rows(h, s, n, self.longest + 1)
         b = buckets(windows, n).ravel()
         lo, hi = np.searchsorted(self.keys, b, "left"), np.searchsorted(self.keys, b, "right")
@@ -230,7 +240,7 @@ class Benchmark:
             i, j = np.divmod(pair[at : at + part], len(self.items))
             d = edit_distances(windows[i], self.words[j], n[i])
             ok = (d <= k[i]) & (n[i] == self.n[j])
-            out.append((s[i[ok]], self.items[j[ok]], d[ok], n[i[ok]]))
+            out.append((i[ok], self.items[j[ok]], d[ok], n[i[ok]]))
         return out
 
 

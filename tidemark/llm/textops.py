@@ -39,7 +39,8 @@ _LOWER_PAIR = _lower_pairs()
 STEP_BYTES = 2 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash's base and of its inverse."""
     global _pw, _ipw
     if len(_pw) < n:
         size = max(n, STEP_BYTES + 1)
@@ -117,7 +118,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         n = len(self.raw)
-        pw, ipw = _powers(n + 1)
+        pw, ipw = powers(n + 1)
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.raw] * pw[:n], out=s[1:])
         h = (s[self.end] - s[self.start]) * ipw[self.start]
