@@ -103,6 +103,42 @@ def test_contaminated_documents(spark, docs_of, words, edges):
     assert clean == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_contaminated_by_dropped_and_inserted_words(spark, docs_of, words):
+    items = [(k, " ".join(words(n, 700 + k))) for k, n in enumerate([15, 16, 25, 31, 40, 59] * 10)]
+    rng, rows, edits = random.Random(4), [], {}
+    for k, (_, t) in enumerate(items):
+        w, bound = t.split(), int(0.2 * len(t.split()) + 1e-9)
+        edits[k] = 1 if k % 12 == 0 else bound
+        for _ in range(edits[k]):
+            if k % 2 == 0:
+                del w[rng.randrange(len(w))]
+            else:
+                w.insert(rng.randrange(1, len(w)), f"new{rng.random()}")
+        lead, tail = (words(30, 3000 + k) if k // 2 % 2 else []), (words(20, 4000 + k) if k // 4 % 2 else [])
+        rows.append((k, " ".join(lead + w + tail)))
+    rows += [(500 + k, " ".join(w[: int(0.8 * len(w)) - 1])) for k, w in enumerate(t.split() for _, t in items)]  # too short
+    hits = decontamination.contaminated(docs_of(rows), bench_frame(spark, items)).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in hits) and len({r["doc_id"] for r in hits}) >= 0.97 * len(items)
+    text, item = dict(rows), dict(items)
+    for r in hits:
+        got = text[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().split()
+        assert len(got) == r["n_words"] and brute_distance(got, item[r["item_id"]].split()) == r["distance"] <= edits[r["doc_id"]]
+    # an item less one word is a text of its own
+    assert {r["doc_id"]: r["distance"] for r in hits}[0] == 1
+
+
+def test_best_passages(words):
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    a, b = rng.integers(1, 4, (60, 8)).astype(np.uint64), rng.integers(1, 4, (60, 12)).astype(np.uint64)
+    n, size = rng.integers(3, 9, 60), rng.integers(2, 13, 60)
+    for r, (d, s, e) in enumerate(zip(*decontamination.best_passages(a, b, n, size), strict=True)):
+        x, y = a[r, : n[r]].tolist(), b[r, : size[r]].tolist()
+        every = [(brute_distance(x, y[i:j]), i, abs(j - i - len(x))) for i in range(len(y) + 1) for j in range(i, len(y) + 1)]
+        assert (d, s, abs(e - s - n[r])) == min(every) and e <= size[r]
+
+
 def test_decontamination_empty(spark, docs_of):
     d, b = docs_of([(1, "a b c d e f g")]), bench_frame(spark, [(1, "a b c d e f g")])
     assert decontamination.contaminated(d.limit(0), b).count() == 0

@@ -1,17 +1,19 @@
 """Benchmark decontamination under edit distance.
 
-A document is contaminated by an item of n words if one of its windows of n words is
-within ``floor((1 - similarity) * n)`` word edits of the item.
+A document is contaminated by an item of n words if one of its passages, whatever its
+length, is within ``k = floor((1 - similarity) * n)`` word edits of the item.
 
-1. A window within k edits keeps n - k words and n - 1 - 2k word pairs of its item.
-   Running counts of the items' words and pairs, per item size, drop windows with fewer;
-   nothing is lost by that.
+1. Such a passage of m words keeps n - k words and n - 1 - 2k word pairs of its item, and so
+   does the window of n words from its start (of fewer where the text ends before).  Running counts of the items' words and pairs, per item
+   size, drop windows with fewer; nothing is lost by that.
 2. Remaining windows and all items are embedded by CGK random walks (edit distance to
    Hamming distance): at step j the walk writes the current word and moves on if a random
    bit of (walk, j, word) is set, 3n steps in all.  ``WALKS`` walks with ``TABLES`` samples
    of ``SAMPLED`` positions each give the buckets; sharing one makes a candidate.
    At half the positions equal, 1 - (1 - 0.5**2)**32 = 0.9999 of pairs share one.
-3. Candidates are verified by the exact edit distance, many at once.
+3. Candidates are verified, many at once, by the exact edit distance of the item to the best
+   passage of the text around the window (2k words more on both sides; candidates of one
+   item near each other share one such area).
 
 Words are lower-cased (letters of one or two UTF-8 bytes: Latin, Greek, Cyrillic) and lose
 ASCII punctuation at both ends; what is then empty is no word.
@@ -24,7 +26,10 @@ Defined results
 ---------------
 * null or empty text, no words: no row.  A null id: rows carry the null id.
 * items that are null, empty or have fewer than ``min_words`` words: not searched for.
-* ties: per document and item the window of least distance, then the leftmost.
+* ``n_words`` and the byte span are those of the passage, which may have up to k words more
+  or fewer than its item.  Texts of n - k words and more are looked at.
+* ties: per document and item the passage of least distance, then the leftmost, then the one
+  whose length is nearest the item's.
 * repeated documents and items: each gives its own rows.
 * very long texts: whole, linear in their words.
 * empty tables: empty result.  Extra columns are ignored.
@@ -102,27 +107,35 @@ def buckets(words: np.ndarray, n: np.ndarray) -> np.ndarray:
     return keys
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Word edit distance of ``a[r, :n[r]]`` to ``b[r, :n[r]]`` for each row."""
-    m, width = a.shape
-    cols = np.arange(width + 1)
+def best_passages(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, start, end) of the passage of ``b[r, :size[r]]`` nearest to ``a[r, :n[r]]`` in word edits, for each row."""
+    m, width = len(b), b.shape[1]
+    base = width + 1  # a cell is its distance times this, plus the start of its passage
+    small = (int(n.max(initial=0)) + width + 1) * base < 2**31
+    cols = np.arange(width + 1, dtype=np.int32 if small else np.int64)
+    slope = cols * base
     row = np.broadcast_to(cols, (m, width + 1)).copy()
-    out = np.zeros(m, np.int64)
+    out = row.copy()
     for i in range(int(n.max(initial=0))):
-        best = np.empty_like(row)
-        best[:, 0] = i + 1
-        best[:, 1:] = np.minimum(row[:, :-1] + (a[:, i : i + 1] != b), row[:, 1:] + 1)
-        row = np.minimum.accumulate(best - cols, axis=1) + cols
+        best = row + base
+        np.minimum(best[:, 1:], row[:, :-1] + (a[:, i : i + 1] != b) * cols.dtype.type(base), out=best[:, 1:])
+        best -= slope
+        row = np.minimum.accumulate(best, axis=1, out=best)
+        row += slope
         done = n == i + 1
-        out[done] = row[done, i + 1]
-    return out
+        if done.any():
+            out[done] = row[done]
+    out[cols > size[:, None]] = np.iinfo(out.dtype).max
+    least = out.min(axis=1)
+    odd = np.where(out == least[:, None], np.abs(cols - (least % base + n)[:, None]), 2 * base + int(n.max(initial=0)))
+    return (least // base).astype(np.int64), (least % base).astype(np.int64), odd.argmin(axis=1)
 
 
-def _rows(h: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    """Words from ``start``, ``n`` of them, then zeros."""
+def _rows(h: np.ndarray, start: np.ndarray, n: np.ndarray, width: int, pad: np.ndarray | int = 0) -> np.ndarray:
+    """Words from ``start``, ``n`` of them, then zeros; ``pad`` zeros before."""
     out = np.zeros((len(start), width), np.uint64)
     r = np.repeat(np.arange(len(start)), n)
-    out[r, ranges(np.zeros(len(start), np.int64), n)] = h[ranges(start, n)]
+    out[r, ranges(np.broadcast_to(pad, len(start)), n)] = h[ranges(start, n)]
     return out
 
 
@@ -150,6 +163,7 @@ class Benchmark:
         use = np.flatnonzero(count >= min_words)
         self.n = count[use]
         self.longest = int(self.n.max(initial=0))
+        self.edits = ((1 - similarity) * self.n + 1e-9).astype(np.int64)
         self.items = np.array([items[r][0] for r in use], np.int64)
         self.words = _rows(w.hash, w.first[use], self.n, self.longest + 1)
         keys = buckets(self.words, self.n)
@@ -166,81 +180,134 @@ class Benchmark:
         self.least = max(0, min((self.span - 2 * k // ((n - 1) // self.span) for n, k in ns), default=0))
 
     def matches(self, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-        """All (text, item) hits: text, item, distance, size and the byte span of the window."""
+        """All (text, item) hits: text, item, distance, size and the byte span of the passage."""
         w = Normal(raw, off)
-        h, first, N = w.hash, w.first, len(w.hash)
-        out: list[tuple] = []
-        at = self._dense(h)  # the words near enough to items' word pairs
-        h, M = h[at], len(at)
-        word = _find(self.vocabulary, h)
-        pair = _find(self.pairs, grams(h, 2)) < len(self.pairs)
-        last = np.repeat(first[1:], np.diff(first))[at]  # where each word's text ends
-        run_end = np.searchsorted(at - np.arange(M), at - np.arange(M), "right")  # and where its dense run does
-        room = np.minimum(last - at, run_end - np.arange(M)) if M else at
-        starts, sizes, bounds = [], [], []
-        for (n, k, _), use in zip(self.sizes, self.uses, strict=True):
-            if n > M:
-                continue
-            c = np.concatenate(([0], np.cumsum(use[word], dtype=np.int32)))
-            b = np.concatenate(([0], np.cumsum(pair, dtype=np.int32)))
-            s = np.flatnonzero((c[n:] - c[:-n] >= n - k) & (b[n - 1 :] - b[: M - n + 1] >= n - 1 - 2 * k) & (room[: M - n + 1] >= n))
-            starts.append(s)
-            sizes.append(np.full(len(s), n))
-            bounds.append(np.full(len(s), k))
-        if starts:
-            s, n, k = map(np.concatenate, (starts, sizes, bounds))
-            # equal windows (repeated lines, one passage in many texts) are looked up once
-            pw, ipw = powers(M + 1)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * pw[:M])))
-            key = mix((sums[s + n] - sums[s]) * ipw[s] + n.astype(np.uint64) * U(0x100000001B3))
-            _, one, back, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            order, begin = np.argsort(back, kind="stable"), np.cumsum(copies) - copies
-            part = max(1, 1_500_000 // (self.longest + 1))
-            for at_ in range(0, len(one), part):
-                o = one[at_ : at_ + part]
-                for u, *found in self._verify(h, s[o], n[o], k[o], part):
-                    u = u + at_
-                    out.append((s[order[ranges(begin[u], copies[u])]], *(np.repeat(x, copies[u]) for x in found)))
-        names = ("start", "item", "distance", "size")
-        got = {x: np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i, x in enumerate(names)}
-        got["start"] = at[got["start"]] if M else got["start"]
-        got["text"] = np.searchsorted(first, got["start"], "right") - 1
-        order = np.lexsort((got["start"], got["distance"], got["item"], got["text"]))
+        first = w.first
+        names = ("text", "item", "distance", "start", "size")
+        out = [tuple(np.zeros(0, np.int64) for _ in names)]
+        at = self._dense(w.hash)  # the words near enough to items' word pairs
+        if len(at):
+            s, size, n, pad = self._windows(w.hash, at, first)
+            window, item, exact = self._lookup(w.hash, s, size, n, pad)
+            start = s[window]
+            text = np.searchsorted(first, start, "right") - 1
+            out.append((text[exact], item[exact], np.zeros(int(exact.sum()), np.int64), start[exact], self.n[item[exact]]))
+            # nothing is nearer than a copy, and copies are all found
+            pair = text * len(self.items) + item
+            rest = ~np.isin(pair, pair[exact])
+            out += self._verify(w.hash, first, text[rest], item[rest], start[rest])
+        got = {x: np.concatenate(c) for x, c in zip(names, zip(*out, strict=True), strict=True)}
+        order = np.lexsort((np.abs(got["size"] - self.n[got["item"]]), got["start"], got["distance"], got["item"], got["text"]))
         got = {x: v[order] for x, v in got.items()}
         if len(order):
             new = np.concatenate(([True], (np.diff(got["text"]) != 0) | (np.diff(got["item"]) != 0)))
             got = {x: v[new] for x, v in got.items()}
-        base = off[got["text"]]
-        got["from"] = w.start[got["start"]] - base if N else got["start"]
-        got["to"] = w.end[got["start"] + got["size"] - 1] - base if N else got["start"]
+            base = off[got["text"]]
+            got["from"] = w.start[got["start"]] - base
+            got["to"] = w.end[got["start"] + got["size"] - 1] - base
+        else:
+            got["from"] = got["to"] = got["start"]
+        got["item"] = self.items[got["item"]]
         return got
 
+    def _windows(self, h: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, words, words of the items looked for, empty words before) of the windows with enough words and pairs, among the places ``at``."""
+        d, M = h[at], len(at)
+        word = _find(self.vocabulary, d)
+        b = np.concatenate(([0], np.cumsum(_find(self.pairs, grams(d, 2)) < len(self.pairs), dtype=np.int32)))
+        here = np.arange(M)
+        lead = at - np.repeat(first[:-1], np.diff(first))[at]  # from where each word's text begins
+        room = np.repeat(first[1:], np.diff(first))[at] - at  # to where it ends
+        run = np.searchsorted(at - here, at - here, "right") - here  # and where its dense run does
+        out = []
+        for (n, k, _), use in zip(self.sizes, self.uses, strict=True):
+            c = np.concatenate(([0], np.cumsum(use[word], dtype=np.int32)))
+            full = np.zeros(0, np.int64)
+            if n <= M:
+                full = np.flatnonzero((c[n:] - c[:-n] >= n - k) & (b[n - 1 :] - b[: M - n + 1] >= n - 1 - 2 * k) & (np.minimum(room, run)[: M - n + 1] >= n))
+            cut = np.flatnonzero((room < n) & (room >= n - k) & (run >= room))  # windows the text's end cuts
+            end = cut + room[cut]
+            cut = cut[(c[end] - c[cut] >= n - k) & (b[end - 1] - b[cut] >= n - 1 - 2 * k)]
+            # windows that begin before their text, with words of no text: walks of shortened items meet at some of them
+            s = np.concatenate((full, cut))
+            s = np.unique((at - lead)[s[lead[s] < k]])
+            pad, s = np.tile(np.arange(1, k + 1), len(s)), np.repeat(s, k)
+            end = first[np.searchsorted(first, s, "right")]
+            for x, y, z in ((full, n, 0), (cut, room[cut], 0), (None, np.minimum(n - pad, end - s), pad)):
+                x = s if x is None else at[x]
+                out.append([np.broadcast_to(v, len(x)) for v in (x, y, n, z)])
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
     def _dense(self, h: np.ndarray) -> np.ndarray:
         """Places of words within ``longest`` of a run dense in items' word pairs; all places where no run need be."""
-        if len(h) <= self.span or not self.sizes:
+        N = len(h)
+        if not N or not self.sizes:
             return np.zeros(0, np.int64)
         if self.least == 0:
-            return np.arange(len(h))
+            return np.arange(N)
+        h = np.concatenate((h, np.zeros(self.longest, np.uint64)))  # a passage at the end may be shorter than a run
         c = np.concatenate(([0], np.cumsum(_find(self.pairs, grams(h, 2)) < len(self.pairs), dtype=np.int32)))
         hit = np.flatnonzero(c[self.span :] - c[: -self.span] >= self.least)
         edge = np.zeros(len(h) + 1, np.int32)
         np.add.at(edge, np.maximum(hit - self.longest, 0), 1)
         np.add.at(edge, np.minimum(hit + self.span + 1 + self.longest, len(h)), -1)
-        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-
-    def _verify(self, h: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, part: int) -> list[tuple]:
-        """(window, item, distance, words) arrays of the windows (starts ``s``) within their bounds ``k``."""
-        windows = _rows(h, s, n, self.longest + 1)
-        b = buckets(windows, n).ravel()
-        lo, hi = np.searchsorted(self.keys, b, "left"), np.searchsorted(self.keys, b, "right")
-        window = np.repeat(np.arange(len(s)), WALKS * TABLES)
-        pair = np.unique(np.repeat(window, hi - lo) * len(self.items) + self.owner[ranges(lo, hi - lo)])
+        return np.flatnonzero(np.cumsum(edge[:N]) > 0)
+
+    def _lookup(self, h: np.ndarray, s: np.ndarray, size: np.ndarray, n: np.ndarray, pad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place of the item, whether they are equal) of the windows (starts ``s``) that share a bucket with an item."""
+        # equal windows (repeated lines, one passage in many texts) are looked up once
+        pw, ipw = powers(len(h) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * pw[: len(h)])))
+            key = mix((sums[s + size] - sums[s]) * ipw[s] + (n.astype(np.uint64) << U(32) | pad.astype(np.uint64)) * U(0x100000001B3))
+        _, one, back, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        order, begin = np.argsort(back, kind="stable"), np.cumsum(copies) - copies
+        part = max(1, 1_500_000 // (self.longest + 1))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for at in range(0, len(one), part):
+            o = one[at : at + part]
+            windows = _rows(h, s[o], size[o], self.longest + 1, pad[o])
+            b = buckets(windows, n[o]).ravel()
+            lo, hi = np.searchsorted(self.keys, b, "left"), np.searchsorted(self.keys, b, "right")
+            window = np.repeat(np.arange(len(o)), WALKS * TABLES)
+            pair = np.unique(np.repeat(window, hi - lo) * len(self.items) + self.owner[ranges(lo, hi - lo)])
+            for p in range(0, len(pair), part):
+                i, j = np.divmod(pair[p : p + part], len(self.items))
+                ok = n[o[i]] == self.n[j]
+                i, j = i[ok], j[ok]
+                same, u = (windows[i] == self.words[j]).all(axis=1), i + at
+                out.append((order[ranges(begin[u], copies[u])], np.repeat(j, copies[u]), np.repeat(same, copies[u])))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def _verify(self, h: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple]:
+        """(text, place of the item, distance, start, words) arrays of the best passages around candidates, where within their bounds."""
+        if not len(start):
+            return []
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        n, k = self.n[item], self.edits[item]
+        new = np.ones(len(start), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(start) > k[1:])
+        begin = np.flatnonzero(new)
+        lead = np.repeat(start[begin], np.diff(np.append(begin, len(start))))
+        new[1:] |= np.diff((start - lead) // np.maximum(n, 1)) != 0  # long chains are cut, areas overlap
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(start)) - 1
+        text, item, n, k = text[begin], item[begin], n[begin], k[begin]
+        lo = np.maximum(first[text], start[begin] - 2 * k)
+        size = np.minimum(first[text + 1], start[last] + n + 2 * k) - lo
         out = []
-        for at in range(0, len(pair), part):
-            i, j = np.divmod(pair[at : at + part], len(self.items))
-            d = edit_distances(windows[i], self.words[j], n[i])
-            ok = (d <= k[i]) & (n[i] == self.n[j])
-            out.append((i[ok], self.items[j[ok]], d[ok], n[i[ok]]))
+        order, at = np.lexsort((size, n)), 0
+        while at < len(order):
+            # sorted by words, so rows are about as long as the chunk's last
+            to = min(len(order), at + max(1, 1_500_000 // int(size[order[at]] + 1)))
+            o = order[at:to]
+            to = at + max(1, int(np.searchsorted(np.maximum.accumulate(size[o]) * np.arange(1, len(o) + 1), 2_000_000)))
+            o = order[at:to]
+            d, a, e = best_passages(self.words[item[o]], _rows(h, lo[o], size[o], int(size[o].max())), n[o], size[o])
+            ok = (d <= k[o]) & (e > a)
+            out.append((text[o][ok], item[o][ok], d[ok], (lo[o] + a)[ok], (e - a)[ok]))
+            at = to
         return out
 
 
