@@ -151,6 +151,28 @@ def test_article_pages(spark, sf):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in hx.html_extraction(df).collect()}
+
+
+def test_headings_and_sections_outside_the_main_div(spark):
+    long, mid = "long text " * 60, "middling text " * 8
+    pages = {
+        "a.org": f"<body><nav>n</nav><article><h1>Title</h1><div class=content><p>{long}</p></div></article><div class=x><p>{mid}</p></div>",
+        "b.org": f"<article><section class=one><p>{long}</p></section><section class=two><p>{mid}</p></section></article>",
+        "c.org": f"<article><p>{mid}</p><blockquote>{long}</blockquote><table><tr><td>{long}{long}</td></tr></table><p>end</p></article>",
+        "d.org": f"<body><main><header><h2>Title</h2></header><article><div><p>{long}</p></div></article></main><aside>a</aside>",
+        "e.org": f"<body><h1>Title</h1><div class=x>{mid}</div><div class=post><h2>Part</h2><div class=content><p>{long}</p></div></div>",
+        "f.org": f"<body><div class=one><p>{long}</p></div><div class=two><p>{mid}{mid}{mid}</p></div><div class=x>x</div>",
+    }
+    rows = [(k * 10 + i, f"http://{host}/{i}", page) for k, (host, page) in enumerate(pages.items()) for i in range(3)]
+    got = extracted(spark, rows)
+    long, mid = long.strip(), mid.strip()
+    want = [f"Title\n{long}", f"{long}\n{mid}", f"{mid}\n{long}\n{long} {long}\nend", f"Title\n{long}", f"Title\nPart\n{long}", f"{long}\n{mid} {mid} {mid}"]
+    assert got == {k * 10 + i: w for k, w in enumerate(want) for i in range(3)}
+
+
 # -- pipeline --
 
 

@@ -5,8 +5,13 @@
    footers, sidebars, notices, adverts, forms and comments give nothing.
 2. A container's path is its chain of tags with first classes, digits generalised.  Pages
    vote with score shares; Spark sums the votes by host and path.
-3. Each page takes, of the paths it has, the one with most votes on its host and is
-   extracted again at all elements with that path.
+3. Of the paths a page has, the one with most votes on its host wins, and with it those whose
+   own text has ``SHARE`` of these votes there.  Each is widened to the nearest article or main
+   around it; where there is none, outwards as long as the next container has text of its
+   own (body excepted).  A winner in an article or main takes only others in one with it.
+4. The page is extracted again at all elements with these paths, in page order, and with the
+   headings before them: an h1 that stands in a container around them, any heading where
+   that is within an article or main.
 
 Votes are summed map-side before they are shuffled, so a host with a third of all pages is
 one small row per path and task.  Winners are keyed by page content and join the pages
@@ -60,17 +65,20 @@ NOISE_NAME = re.compile(
     r"footers?|related|recommended|promo|promotion|sponsor\w*|sponsored|search|form|skip|reactions?|replies|reviews?)(?:$|[\s_-])", re.I)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:headers?|masthead)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Own text of a path, as a share of the winner's votes on the host, from which it is taken with the winner.
+SHARE = 0.25
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEVER = frozenset("html body article main".split())
 _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "article", "link", "score", "container")
+    __slots__ = ("tag", "path", "noise", "article", "link", "container", "lead")
 
     def __init__(self, tag: str, path: str, noise: bool, article: bool, link: bool):
         self.tag, self.path, self.noise, self.article, self.link = tag, path, noise, article, link
-        self.score = 0.0
         self.container = (tag in CONTAINER or not tag) and not noise
+        self.lead = False
 
 
 def _noisy(tag: str, attr: dict[str, str], article: bool) -> bool:
@@ -152,9 +160,9 @@ def walk(page: str):
         yield "close", stack, node
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Path -> score of a page's containers with text."""
-    scores: dict[str, float] = {}
+def container_scores(page: str) -> dict[str, list[float]]:
+    """Path -> score, and characters of its own, of a page's containers with text."""
+    scores: dict[str, list[float]] = {}
     for kind, stack, what in walk(page):
         if kind != "text" or stack[-1].noise or stack[-1].link or what.isspace():
             continue
@@ -162,15 +170,57 @@ def container_scores(page: str) -> dict[str, float]:
         near = [x for x in reversed(stack) if x.container][:2]
         for x, share in zip(near, (1.0, 0.5), strict=False):
             bonus = 1.5 if x.tag in ("article", "main") else 1.0
-            scores[x.path] = scores.get(x.path, 0.0) + n * share * bonus
+            s = scores.setdefault(x.path, [0.0, 0.0])
+            s[0] += n * share * bonus
+            s[1] += n if x is near[0] else 0.0
     return scores
 
 
-def extract(page: str, path: str) -> str:
-    """The text of all elements of ``page`` with ``path``, without boilerplate, one line a block."""
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".", 1)[0]
+
+
+def _above(path: str) -> list[str]:
+    """The paths around a path, innermost first."""
+    out = []
+    while path:
+        path = path.rsplit("/", 1)[0]
+        out.append(path)
+    return out
+
+
+def region(winner: str, votes: int, own: dict[str, int]) -> list[str]:
+    """The paths to extract, of a page's paths with own text and its votes on the host."""
+
+    def widen(path: str) -> tuple[str, bool]:
+        around = [path, *_above(path)]
+        for x in around:
+            if _tag(x) in ("article", "main"):
+                return x, True
+        for x in around[1:]:
+            if _tag(x) in CONTAINER:
+                if not own.get(x) or _tag(x) == "body":
+                    break
+                path = x
+        return path, False
+
+    first, declared = widen(winner)
+    out = {first}
+    for path, n in own.items():
+        if n and n >= SHARE * votes:
+            wide, also = widen(path)
+            if also or not declared:
+                out.add(wide)
+    return sorted(out)
+
+
+def extract(page: str, paths: list[str]) -> str:
+    """The text of all elements of ``page`` with one of ``paths``, without boilerplate, one line a block."""
+    wanted = frozenset(paths)
+    above = {x for path in wanted for x in _above(path)}
     blocks: list[str] = []
     run: list[str] = []
-    inside = int(not path)  # the empty path is the page itself
+    inside = int("" in wanted)  # the empty path is the page itself
 
     def end_block() -> None:
         if run:
@@ -186,10 +236,13 @@ def extract(page: str, path: str) -> str:
         elif kind == "break":
             end_block()
         elif kind == "open":
-            if stack[-1].path == path:
+            node = stack[-1]
+            if not inside and node.tag in _HEADING and not node.noise and (node.tag == "h1" or node.article):
+                node.lead = next(x for x in reversed(stack) if x.container).path in above
+            if node.lead or node.path in wanted:
                 end_block()
                 inside += 1
-        elif what.path == path:
+        elif what.lead or what.path in wanted:
             end_block()
             inside -= 1
     end_block()
@@ -198,19 +251,29 @@ def extract(page: str, path: str) -> str:
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for host, k1, k2, page in zip(*(batch.column(c).to_pylist() for c in ("host", "k1", "k2", "html")), strict=True):
             scores = container_scores(page or "")
-            best = max(scores.values(), default=0.0)
-            for path, s in scores.items():
-                for col, v in zip(cols, (host, k1, k2, path, s / best), strict=True):
+            best = max((s for s, _ in scores.values()), default=0.0)
+            for path, (s, own) in scores.items():
+                for col, v in zip(cols, (host, k1, k2, path, s / best, own / best), strict=True):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], ["host", "k1", "k2", "path", "vote"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "k1", "k2", "path", "vote", "own"])
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = [
+            region(path, votes, {x["path"]: x["owns"] for x in of})
+            for path, votes, of in zip(*(batch.column(c).to_pylist() for c in ("path", "votes", "own")), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(paths, pa.list_(pa.string()))], ["k1", "k2", "paths"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(page, path) if page and path is not None else "" for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        texts = [extract(page, paths) if page and paths is not None else "" for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
 
@@ -218,10 +281,12 @@ def html_extraction(df: DataFrame, page_id: str = "page_id", url: str = "url", h
     """``page_id, url, text, n_chars`` of every row."""
     pages = url_parts(df.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html")), "url")
     pages = pages.select("id", "url", "host", "html", F.xxhash64("host", "html").alias("k1"), F.xxhash64(F.lit("b"), "host", "html").alias("k2"))
-    scored = table(pages.select("host", "k1", "k2", "html").mapInArrow(_score, "host string, k1 long, k2 long, path string, vote double"))
-    votes = scored.groupBy("host", "path").agg(F.sum(F.round(F.col("vote") * 1_000_000).cast("long")).alias("votes"))
-    ranked = scored.join(votes, ["host", "path"]).select("k1", "k2", F.struct("votes", "vote", "path").alias("w"))
-    won = ranked.groupBy("k1", "k2").agg(F.max("w").alias("w")).select("k1", "k2", F.col("w.path").alias("path"))
-    won = table(won)
-    out = pages.join(won, ["k1", "k2"], "left").select("id", "url", "html", "path").mapInArrow(_extract, "id long, url string, text string, n_chars long")
+    scored = table(pages.select("host", "k1", "k2", "html").mapInArrow(_score, "host string, k1 long, k2 long, path string, vote double, own double"))
+    summed = [F.sum(F.round(F.col(c) * 1_000_000).cast("long")).alias(c + "s") for c in ("vote", "own")]
+    votes = scored.groupBy("host", "path").agg(*summed)
+    ranked = scored.join(votes, ["host", "path"]).select("k1", "k2", F.struct("votes", "vote", "path").alias("w"), F.when(F.col("own") > 0, F.struct("path", "owns")).alias("own"))
+    # copies of a page give the same structs
+    won = ranked.groupBy("k1", "k2").agg(F.max("w").alias("w"), F.collect_set("own").alias("own"))
+    won = table(won.select("k1", "k2", "w.path", "w.votes", "own").mapInArrow(_regions, "k1 long, k2 long, paths array<string>"))
+    out = pages.join(won, ["k1", "k2"], "left").select("id", "url", "html", "paths").mapInArrow(_extract, "id long, url string, text string, n_chars long")
     return out.withColumnRenamed("id", page_id).withColumnRenamed("url", url)
