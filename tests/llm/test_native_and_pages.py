@@ -173,6 +173,16 @@ def test_headings_and_sections_outside_the_main_div(spark):
     assert got == {k * 10 + i: w for k, w in enumerate(want) for i in range(3)}
 
 
+def test_embedded_elements_without_end_tag(spark):
+    tags = ["<svg/>", "<svg a='x' />", '<svg a="x"/>', "<math/>", "<MATH a=b />", "<svg a=1>", "<iframe src=x>", "<canvas>", "<video controls>", "<object data=x>", "<select>"]
+    pages = [f"<article><p>one {t} two</p><p>three</p></article>" for t in tags]
+    # a self-closed one does not reach for another's end tag
+    pages += [f"<article><p>one {t} two</p><p>three</p><svg><text>no</text></svg><math><mi>no</mi></math></article>" for t in tags[:5]]
+    pages += ["<article><p>one <svg a=b/c><g/>no</svg> two</p><p>three</p></article>", "<article><p>one two</p><p>three</p><script/>no <p>no"]
+    got = extracted(spark, [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)])
+    assert got == dict.fromkeys(range(len(pages)), "one two\nthree")
+
+
 # -- pipeline --
 
 

@@ -22,6 +22,8 @@ Defined results
 * null or empty html: empty text, 0 characters.  Null url: the empty host.
 * no element with text: empty text.  Text outside any element belongs to the page, whose path is empty.
 * markup that never closes: closed where its parent ends; a broken tag is text from ``<`` on.
+  An embedded element (svg, iframe, canvas, ...) without an end tag is its start tag only;
+  script, style, textarea and title without one run to the page's end.
 * repeated rows: each returned, with equal text.  Ties: higher own score, then path order.
 * very long pages: whole, linear in their tokens.
 * empty table: empty result.  Extra columns are ignored.
@@ -47,6 +49,10 @@ _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 #: HTML's void elements, elements whose content is not markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title iframe noscript noembed noframes svg math object canvas audio video select xmp".split())
+#: RAW elements that are text to the page's end where no end tag follows, and those that may close themselves.
+_TEXT_ONLY = frozenset("script style textarea title".split())
+_FOREIGN = frozenset("svg math".split())
+_VALUE_END = re.compile(r"=\s*[^\s\"']*/$")
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -103,6 +109,7 @@ def walk(page: str):
     """Events of a page: ("open", stack), ("close", node) and ("text", stack, text); block edges are ("break",)."""
     stack = [_Node("", "", False, False, False)]
     at, size = 0, len(page)
+    unended: set[str] = set()  # tags of which no end tag follows
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
@@ -126,8 +133,16 @@ def walk(page: str):
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            raw = m[3] if m[3] is not None else m[6]
+            if tag in _FOREIGN and raw.endswith("/") and not _VALUE_END.search(raw):
+                continue
+            close = None if tag in unended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif tag in _TEXT_ONLY:
+                at = size
+            else:
+                unended.add(tag)
             continue
         if tag in BLOCK:
             yield "break", stack, ""
