@@ -183,6 +183,12 @@ def test_embedded_elements_without_end_tag(spark):
     assert got == dict.fromkeys(range(len(pages)), "one two\nthree")
 
 
+def test_names_of_headings_and_paragraphs_in_articles(spark):
+    page = "<article><h2 id='related-work'>Related work</h2><p class='notice-period'>{}</p><h3 id=search-algorithms class=side>Search</h3><p>end</p><div class=share><p>no</p></div></article><p class=ad>no</p>"
+    got = extracted(spark, [(i, "http://a.org/", page.format(f"text {i}")) for i in range(3)])
+    assert got == {i: f"Related work\ntext {i}\nSearch\nend" for i in range(3)}
+
+
 # -- pipeline --
 
 

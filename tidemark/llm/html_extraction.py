@@ -62,7 +62,7 @@ CONTAINER = frozenset("body div article main section td center blockquote".split
 _P_CLOSERS = BLOCK - {"br", "body", "html", "head", "option", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead"}, "tfoot": {"tbody"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Boilerplate by tag, by role and by parts of class and id.
+#: Boilerplate by tag, by role and by parts of class and id (these not of an article's headings and paragraphs, which they describe).
 NOISE_TAG = frozenset("nav aside footer form button menu dialog search fieldset head".split())
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE_NAME = re.compile(
@@ -99,7 +99,7 @@ def _noisy(tag: str, attr: dict[str, str], article: bool) -> bool:
         "hidden" in attr
         or attr.get("aria-hidden") == "true"
         or attr.get("role", "").lower() in NOISE_ROLE
-        or bool(NOISE_NAME.search(name))
+        or (not (article and (tag == "p" or tag in _HEADING)) and bool(NOISE_NAME.search(name)))
         or (not article and bool(_HEADER_NAME.search(name)))
         or bool(_HIDDEN.search(attr.get("style", "")))
     )
