@@ -82,7 +82,7 @@ def test_substring_dedup(docs_of, words, edges, monkeypatch):
     got = sorted(repr(tuple(r)) for r in sd.substring_dedup(docs_of(rows)).collect())
     assert got == brute_windows(rows)
     # hot anchors dealt window by window, many shards
-    monkeypatch.setattr(sd, "HOT_DOCS", 3)
+    monkeypatch.setattr(sd, "HOT_RUNS", 3)
     monkeypatch.setattr(sd, "SHARD_WORDS", 200)
     assert sorted(repr(tuple(r)) for r in sd.substring_dedup(docs_of(rows)).collect()) == brute_windows(rows)
 
@@ -102,19 +102,33 @@ def test_empty_tables(docs_of, spark):
     assert jj.keep_one(none).count() == 0
 
 
-def test_fm_index_counts():
+def test_matching_statistics():
+    """Longest match with a smaller document at each place, of any length, and the intervals from a width on."""
     rng = np.random.Generator(np.random.PCG64(1))
-    text = rng.integers(1, 4, 500)
-    text[rng.integers(0, 500, 20)] = 0
-    text[-1] = 0  # every text ends with a 0
-    index = sd.FMIndex(text)
-    for width in (1, 2, 5, 13):
-        start = np.array([i for i in range(500 - width) if (text[i : i + width] > 0).all()])
-        lo, hi = index.search(text, start, width)
-        for s, n in zip(start, hi - lo, strict=True):
-            assert n == sum((text[i : i + width] == text[s : s + width]).all() for i in range(500 - width + 1))
-        for s, a, b in zip(start, lo, hi, strict=True):
-            assert s in index.sa[a:b]
+    size = rng.integers(1, 25, 60)
+    document = np.sort(rng.integers(0, 20, 60))
+    symbols = rng.integers(1, 4, size.sum())
+    parts = np.split(symbols, np.cumsum(size)[:-1])
+    for i in (7, 20, 41):  # long repeats
+        parts[i] = parts[i + 9] = np.concatenate((parts[i], parts[i + 5]))[:25]
+    size, symbols = np.array([len(p) for p in parts]), np.concatenate(parts)
+
+    def known(run, d):
+        return any(document[k] < d and any(np.array_equal(run, p[a : a + len(run)]) for a in range(len(p) - len(run) + 1)) for k, p in enumerate(parts))
+
+    want = [[max((n for n in range(j + 2) if n and known(p[j + 1 - n : j + 1], document[i])), default=0) for j in range(len(p))] for i, p in enumerate(parts)]
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    of = np.repeat(np.arange(60), size + 1)
+    begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    ends = np.flatnonzero(text)
+    index = sd.FMIndex(text, document[of])
+    assert index.matching(text, ends, begin[of[ends]], document[of[ends]]).tolist() == [n for row in want for n in row]
+    assert max(max(r) for r in want) > 13
+    for width in (3, 6, 13):
+        covered = {(i, k) for i, row in enumerate(want) for j, n in enumerate(row) if n >= width for k in range(j + 1 - n, j + 1)}
+        seg, first, last = sd.earlier_matches(symbols, size, document, width)
+        got = [(s, k) for s, a, b in zip(seg.tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)]
+        assert set(got) == covered
 
 
 def test_jaccard(docs_of, words, edges, monkeypatch):

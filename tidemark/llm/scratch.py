@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors and the driver share.
 
-``spark.checkpoint.dir`` names that folder.  Where the session has none (tests,
-a laptop), one temporary folder per application is made and set.
+``spark.checkpoint.dir`` names that folder, or else the folder that ``setCheckpointDir`` was
+given.  A local session without one (tests, a laptop) gets a temporary folder; a session on a
+cluster without one is an error, for executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -13,25 +14,37 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one where none is named."""
+    """The shared folder of this session."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        at = spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Files of a table for each core of the cluster.
+FILES_PER_CORE = 3
+
+
 def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends
-    there, so a lost executor costs at most a re-read of the files."""
+    there, so a lost executor costs at most a re-read of the files.
+
+    A table has a few files a core at most: a task works through several partitions of
+    ``df`` one after the other in place of writing a small file for each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     # shuffle files of finished steps go when the driver's JVM notices that nothing refers to them
@@ -39,6 +52,32 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], n: str, most: int = 1000) -> DataFrame:
+    """Inner join with a table of unique keys that knows how many rows of ``left`` have each.
+
+    Keys with more than 1/``most`` of all rows are fewer than ``most`` by arithmetic: they are
+    broadcast, so a key with a third of the rows never meets in one task.  ``n`` (long) is not returned."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.filter(F.col(n) > total // most).drop(n).select(*[F.col(c).alias(f"_j_{c}") if c in on else F.col(c) for c in right.columns if c != n])
+    rest = right.filter(F.col(n) <= total // most).drop(n)
+    same = F.lit(True)
+    for c in on:
+        same = same & (left[c] == F.col(f"_j_{c}"))
+    hot = F.broadcast(hot)
+    gone = [f"_j_{c}" for c in on]
+    few = left.join(hot, same).drop(*gone)
+    many = left.join(F.broadcast(hot.select(*gone)), same, "left_anti").join(rest, on)
+    return few.unionByName(many.select(*few.columns))
+
+
 def _delete(spark: SparkSession, gone: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:

@@ -36,7 +36,16 @@ def _lower_pairs() -> np.ndarray:
 
 _LOWER_PAIR = _lower_pairs()
 #: Bytes of text that one step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
+#: Rows and bytes of the batches that Spark hands to Python, where the session does not say.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Bound what reaches a Python worker at once, unless the session's own settings do."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +104,25 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def spaced(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The words of the texts one after the other, each with one blank behind it."""
+    data = np.insert(raw, off[1:], 32)
+    space = _SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    out = data[keep]
+    out[_SPACE[out]] = 32
+    return out
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """``data[start[i]:end[i]]`` as a string column."""
+    size = end - start
+    off = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=off[1:])
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(data[ranges(start, size)]))
+
+
 class Words:
     """The words of some texts: byte ``start`` and ``end`` of each, ``first[d]:first[d+1]`` those of text d."""
 
