@@ -1,6 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Both steps are one aggregation and one equi-join; labels and links stay distributed.
+A node with very many neighbours, such as the smallest copy of a large group, is joined
+apart (``join_counted``).
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, table
+from .scratch import drop, join_counted, scope, table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -16,8 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Small: link a node and its smaller neighbours to the smallest of these."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k"))
+        out = join_counted(both.filter("v > u"), least, ["u"], "k").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -27,11 +29,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``u, v`` longs -> ``id, component``: every node that has an edge to another, and the smallest id it reaches."""
+    spark = edges.sparkSession
     now = table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
-        old, now = now, table(_star(_star(now, True), False))
-        drop(edges.sparkSession, old)
+        old = now
+        with scope(spark) as kept:
+            now = table(_star(_star(old, True), False))
+            kept.append(now)
+        drop(spark, old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if seen == mark:
             break

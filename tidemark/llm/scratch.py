@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def _own_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside are deleted when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 #: Files of a table for each core of the cluster.
 FILES_PER_CORE = 3
 
@@ -45,10 +57,9 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     writer = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _own_shuffles_go(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    # shuffle files of finished steps go when the driver's JVM notices that nothing refers to them
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,9 +98,14 @@ def _delete(spark: SparkSession, gone: list[str]) -> None:
 
 
 def _paths(spark: SparkSession, frames: list[DataFrame]) -> list[str]:
-    """Tables made here that the frames read."""
-    files = {f for df in frames for f in df.inputFiles()}
-    return [p for p in _made.get(spark.sparkContext.applicationId, []) if any(p.rsplit("/", 1)[-1] in f for f in files)]
+    """Tables made here that the frames read, by the roots of their scans (no file is listed)."""
+    roots: set[str] = set()
+    for df in frames:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for i in range(leaves.size()):
+            if leaves.apply(i).nodeName().startswith("LogicalRelation"):
+                roots |= {str(leaves.apply(i).relation().location().rootPaths().mkString("|"))}
+    return [p for p in _made.get(spark.sparkContext.applicationId, []) if any(p.rsplit("/", 1)[-1] in r for r in roots)]
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
