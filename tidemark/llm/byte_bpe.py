@@ -13,7 +13,7 @@ Defined results
 * null text: encoded as the empty text (no tokens, hash of nothing).
 * repeated rows and ties: each row on its own; among equal merge ranks the leftmost pair goes first.
 * very long texts: worked on whole; a piece of over ``LONG`` bytes is merged with a heap.
-* empty table: empty result.  Extra columns are ignored.
+* empty table: empty result.  Extra columns are ignored, whatever their names.
 
 No shuffle; the rank file (under 1 MB) is read by the driver and shipped as a broadcast.
 """
@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ranges, steps, text_bytes
+from .textops import ranges, small_batches, steps, text_bytes
 
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE = 200_000
+CACHE = 100_000
+#: Bytes of text that are encoded at once; a longer text is a step of its own.
+STEP = 256 << 10
 #: Bytes of a piece from which merging runs alone, with a heap.
 LONG = 64
 
@@ -385,41 +387,51 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def _encode_batches(shipped, full: bool):
-    names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-    if full:
-        names, kinds = [*names, "ids", "offsets", "decoded"], [*kinds, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
+#: Columns beside the digests, and their types.
+EXTRA = {"ids": "array<int>", "offsets": "array<long>", "decoded": "string"}
 
+
+def _digests(data: bytes, edge: list[int]) -> pa.Array:
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(edge, edge[1:], strict=False)], pa.string())
+
+
+def _encode_batches(shipped, extra: tuple[str, ...]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shipped.value
         if (codec := _codecs.get(id(ranks))) is None:  # a worker serves many tasks
             _codecs.clear()
             codec = _codecs[id(ranks)] = Codec(ranks)
         for big in batches:
-            for batch in steps(big, limit=1 << 20):
+            for batch in steps(big, limit=STEP):
                 raw, off = text_bytes(batch.column("text"))
                 ids, per = codec.encode(raw, off)
                 back, token_at = codec.decode(ids)
-                ids4, back = ids.astype("<u4").tobytes(), back.tobytes()
-                rows = []
-                for i, key in enumerate(batch.column("k").to_pylist()):
-                    a, b = int(per[i]), int(per[i + 1])
-                    text = back[token_at[a] : token_at[b]]
-                    row = [key, b - a, hashlib.sha256(ids4[4 * a : 4 * b]).hexdigest(), hashlib.sha256(text).hexdigest()]
-                    rows.append(row + [ids[a:b].astype(np.int32), token_at[a : b + 1] - token_at[a], text.decode("utf-8", "replace")] if full else row)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                ids4, decoded, cut = ids.astype("<u4").tobytes(), back.tobytes(), token_at[per]
+                out = {
+                    "k": batch.column("k"), "n_tokens": pa.array(np.diff(per), pa.int64()),
+                    "ids_sha256": _digests(ids4, (4 * per).tolist()), "decoded_sha256": _digests(decoded, cut.tolist()),
+                }
+                if "ids" in extra:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.array(ids.view(np.int32)))
+                if "offsets" in extra:  # one more than ids in each text
+                    n = np.diff(per) + 1
+                    flat = token_at[ranges(per[:-1], n)] - np.repeat(cut[:-1], n)
+                    out["offsets"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat, pa.int64()))
+                if "decoded" in extra:
+                    out["decoded"] = pa.array([decoded[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return f
 
 
-def byte_bpe(df: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``; with ``full`` also ``ids``, byte
+def byte_bpe(df: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, as named in ``extra`` (in this order), ``ids``, byte
     ``offsets`` (one more than ids) and the ``decoded`` text.
 
     ``ranks_path``: a rank file (base64 token, blank, rank) on the driver."""
+    small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if full:
-        schema += ", ids array<int>, offsets array<long>, decoded string"
-    return df.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text")).mapInArrow(_encode_batches(shipped, full), schema).withColumnRenamed("k", doc_id)
+    extra = tuple(c for c in EXTRA if c in extra)
+    schema = ", ".join(["k long, n_tokens long, ids_sha256 string, decoded_sha256 string", *[f"{c} {EXTRA[c]}" for c in extra]])
+    out = df.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text")).mapInArrow(_encode_batches(shipped, extra), schema)
+    return out.withColumnRenamed("k", doc_id)
