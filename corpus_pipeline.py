@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of ids and decoded bytes."""
-    return _bpe.byte_bpe(docs, tokenizer_path(), full=True).drop("offsets", "decoded")
+    return _bpe.byte_bpe(docs, tokenizer_path(), extra=("ids",))
 
 
 STAGES = [
