@@ -44,19 +44,21 @@ def _own_shuffles_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
-#: Files of a table for each core of the cluster.
+#: Files of a table for each core of the cluster, at least.
 FILES_PER_CORE = 3
 
 
-def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def table(df: DataFrame, partition_by: list[str] | None = None, files: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends
     there, so a lost executor costs at most a re-read of the files.
 
-    A table has a few files a core at most: a task works through several partitions of
-    ``df`` one after the other in place of writing a small file for each."""
+    A table has ``files`` files at most, or else half as many as shuffles have partitions (and a few a core):
+    a task works through some partitions of ``df`` one after the other in place of writing a small file for each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    writer = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd")
+    least = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    files = files or max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    writer = df.coalesce(files).write.option("compression", "zstd")
     with _own_shuffles_go(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -74,19 +76,21 @@ def free_name(df: DataFrame, name: str) -> str:
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], n: str, most: int = 1000) -> DataFrame:
     """Inner join with a table of unique keys that knows how many rows of ``left`` have each.
 
-    Keys with more than 1/``most`` of all rows are fewer than ``most`` by arithmetic: they are
-    broadcast, so a key with a third of the rows never meets in one task.  ``n`` (long) is not returned."""
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = right.filter(F.col(n) > total // most).drop(n).select(*[F.col(c).alias(f"_j_{c}") if c in on else F.col(c) for c in right.columns if c != n])
-    rest = right.filter(F.col(n) <= total // most).drop(n)
+    Keys with more than 1/``most`` of all rows are fewer than ``most`` by arithmetic.  They are broadcast, and
+    salted in proportion to their rows, so a key with a third of the rows never meets in one task; what is
+    added to ``right`` is 2 x ``most`` rows at most.  ``n`` (long) is not returned."""
+    edge = (right.agg(F.sum(n)).first()[0] or 0) // most
+    salts = F.when(F.col(n) > edge, F.ceil(F.col(n) / max(edge, 1))).otherwise(F.lit(1)).cast("int")
+    right = right.withColumn("_salts", F.least(salts, F.lit(most)))
+    hot = right.filter("_salts > 1").select(*[F.col(c).alias(f"_j_{c}") for c in on], "_salts")
     same = F.lit(True)
     for c in on:
         same = same & (left[c] == F.col(f"_j_{c}"))
-    hot = F.broadcast(hot)
-    gone = [f"_j_{c}" for c in on]
-    few = left.join(hot, same).drop(*gone)
-    many = left.join(F.broadcast(hot.select(*gone)), same, "left_anti").join(rest, on)
-    return few.unionByName(many.select(*few.columns))
+    rest = [c for c in left.columns if c not in on] or on
+    salted = left.join(F.broadcast(hot), same, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0)).cast("int"))
+    salted = salted.drop("_salts", *[f"_j_{c}" for c in on])
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", n)
+    return salted.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def _delete(spark: SparkSession, gone: list[str]) -> None:
