@@ -103,11 +103,36 @@ def test_url_tree_rejects_labelled_templates(spark):
     rows += [(100 + i, f"http://w.org/{'abcdefghijklmnopqrstuvwxyz'[i]}/p", "block" if i < 20 else None) for i in range(26)]
     df = spark.createDataFrame(rows, "page_id long, url string, y string")
     got = {r["page_id"]: r for r in url_filters.url_filters(df, label="y").collect()}
-    assert {got[20 + i]["verdict"] for i in range(3)} == {"block"} and got[60]["verdict"] == got[61]["verdict"] == "allow"
+    assert {got[20 + i]["verdict"] for i in range(3)} == {"block"} and got[60]["verdict"] == "allow"
+    assert got[61]["verdict"] == "block"  # no label on this host: what is known of the template elsewhere
     assert got[125]["template"] == "/*/p" and got[125]["verdict"] == "block"
     assert url_filters.url_filters(df.limit(0)).count() == 0
 
 
+def test_url_tree_depth_support_and_own_labels(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rows = [(i, f"http://d.org{deep}/spam/{i}", "block") for i in range(5)] + [(10 + i, f"http://d.org{deep}/good/{i}", "allow") for i in range(5)]
+    rows += [(20, f"http://d.org{deep}/spam/x9", None), (21, f"http://d.org{deep}/good/x9", None)]
+    rows += [(30 + i, f"http://e.org/spam/{i}", "allow") for i in range(4)] + [(40, "http://e.org/spam/9", None)]  # own labels outweigh other hosts'
+    rows += [(50 + i, f"http://f.org/spam/{i}", "block") for i in range(9)]
+    rows += [(100 + i, f"http://big.org/u{chr(97 + i)}", None) for i in range(24)] + [(200 + i, f"http://big.org/kept/{i}", None) for i in range(20)]
+    rows += [(300, "http://lone.org/" + "s/" * 3000, None), (301, "http://lone.org/s/t", None), (300, "http://lone.org/" + "s/" * 3000, None), (None, "http://lone.org/*/", None)]
+    df = spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], "page_id long, url string, y string, c int, tpl string, host string, k0 int")
+    out = url_filters.url_filters(df, label="y").collect()
+    assert len(out) == len(rows)
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in out}
+    assert got[20] == (f"{deep}/spam/*", "block") and got[21] == (f"{deep}/good/*", "allow")
+    assert got[40] == ("/spam/*", "allow")
+    assert {got[100 + i][0] for i in range(24)} == {"/*"} and got[200] == ("/kept/*", "allow")
+    assert got[300] == ("/s" * 8 + "/**", "allow") and got[301][0] == "/s/t" and got[None][0] == "/*"
+
+
+def test_url_tree_decides_on_the_pages(spark, sf):
+    """Pages without a rule are judged by templates, and not all alike."""
+    got = QUERIES["op10_url_filters"](spark, sf).filter("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
 # -- op8 --
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use</div>

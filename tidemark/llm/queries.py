@@ -167,7 +167,7 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(c) AS c FROM c GROUP BY u) m ON m.u = w.doc_id
 """,
     "op10_url_filters": r"""
-WITH a AS (
+WITH RECURSIVE a AS (
   SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
   SELECT page_id, r, regexp_extract(rest, '^([^/?#]*)', 1) AS h, rest FROM a
@@ -180,35 +180,32 @@ WITH a AS (
   FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY c.r
 ), g AS (
   SELECT c.*, rule, rv, list_filter(string_split(path, '/'), lambda s: s <> '') AS sg FROM c LEFT JOIN m USING (r)
-), t AS (
-  SELECT *, CASE WHEN regexp_matches(coalesce(sg[1], ''), '[0-9]') THEN '*' ELSE coalesce(sg[1], '') END AS s0,
-         CASE WHEN regexp_matches(coalesce(sg[2], ''), '[0-9]') THEN '*' ELSE coalesce(sg[2], '') END AS s1,
-         CASE WHEN regexp_matches(coalesce(sg[3], ''), '[0-9]') THEN '*' ELSE coalesce(sg[3], '') END AS s2,
-         CASE WHEN len(sg) > 3 THEN '**' ELSE '' END AS more
-  FROM g
-), u0 AS (
-  SELECT *, CASE WHEN s0 <> '' AND (SELECT count(DISTINCT s0) FROM t x WHERE x.host = t.host) > 20 THEN '*' ELSE s0 END AS t0 FROM t
-), w1 AS (SELECT host, t0, count(DISTINCT s1) AS n FROM u0 GROUP BY ALL),
-u1 AS (
-  SELECT u0.*, CASE WHEN s1 <> '' AND n > 20 THEN '*' ELSE s1 END AS t1 FROM u0 JOIN w1 USING (host, t0)
-), w2 AS (SELECT host, t0, t1, count(DISTINCT s2) AS n FROM u1 GROUP BY ALL),
-u2 AS (
-  SELECT u1.*, CASE WHEN s2 <> '' AND n > 20 THEN '*' ELSE s2 END AS t2 FROM u1 JOIN w2 USING (host, t0, t1)
+), t(r, host, sg, rv, tpl, i) AS (
+  -- the tree grows by one segment of every page a step
+  SELECT r, host, sg, rv, []::VARCHAR[], 0 FROM g
+  UNION ALL
+  SELECT r, host, sg, rv, list_append(tpl, CASE WHEN s = '*' THEN s WHEN many > 20 AND rows_ < 20 AND labels < 3 THEN '*' ELSE s END), i + 1
+  FROM (
+    SELECT *, count(DISTINCT CASE WHEN s <> '*' THEN s END) OVER (PARTITION BY host, tpl) AS many,
+           count(*) OVER (PARTITION BY host, tpl, s) AS rows_, count(rv) OVER (PARTITION BY host, tpl, s) AS labels
+    FROM (SELECT *, CASE WHEN regexp_matches(sg[i + 1], '[0-9]') THEN '*' ELSE sg[i + 1] END AS s FROM t WHERE i < len(sg))
+  )
 ), p AS (
-  SELECT host, t0, t1, t2, more, count(*) FILTER (rv = 'block') AS nb, count(rv) AS n,
-         CASE WHEN t0 NOT IN ('', '*') THEN 0 WHEN t1 NOT IN ('', '*') THEN 1 WHEN t2 NOT IN ('', '*') THEN 2 ELSE -1 END AS f
-  FROM u2 GROUP BY host, t0, t1, t2, more
+  SELECT host, tpl, count(*) FILTER (rv = 'block') AS nb, count(rv) AS n FROM t WHERE i = len(sg) GROUP BY host, tpl
 ), q AS (
-  SELECT *, CASE WHEN f = 0 THEN '*' ELSE t0 END AS g0, CASE WHEN f = 1 THEN '*' ELSE t1 END AS g1, CASE WHEN f = 2 THEN '*' ELSE t2 END AS g2 FROM p
+  SELECT *, coalesce(list_position(list_transform(tpl, lambda s: s <> '*'), true), 0) AS f FROM p
+), f AS (
+  SELECT *, CASE WHEN f > 0 THEN list_concat(list_concat(tpl[:f - 1], ['*']), tpl[f + 1:]) ELSE tpl END AS fam FROM q
 ), x AS (
-  SELECT *, sum(nb) FILTER (n >= 3) OVER fam / sum(n) FILTER (n >= 3) OVER fam AS pr FROM q WINDOW fam AS (PARTITION BY host, g0, g1, g2, more)
+  SELECT *, sum(nb) FILTER (n >= 3) OVER w / sum(n) FILTER (n >= 3) OVER w AS pr FROM f WINDOW w AS (PARTITION BY host, fam)
 ), y AS (
-  SELECT *, n >= 3 AND (nb - n * pr) * (nb - n * pr) <= 1.96 * 1.96 * n * pr * (1 - pr) + 1e-9 AS near FROM x
+  SELECT *, coalesce(n >= 3 AND (nb - n * pr) * (nb - n * pr) <= 1.96 * 1.96 * n * pr * (1 - pr) + 1e-9, false) AS near FROM x
 ), z AS (
-  SELECT *, CASE WHEN near THEN sum(nb) FILTER (near) OVER fam ELSE nb END AS mb, CASE WHEN near THEN sum(n) FILTER (near) OVER fam ELSE n END AS mn
-  FROM y WINDOW fam AS (PARTITION BY host, g0, g1, g2, more)
+  SELECT *, CASE WHEN near THEN sum(nb) FILTER (near) OVER w ELSE nb END AS mb, CASE WHEN near THEN sum(n) FILTER (near) OVER w ELSE n END AS mn,
+         (sum(nb) OVER (PARTITION BY tpl) + 1) / (sum(n) OVER (PARTITION BY tpl) + 2) AS prior
+  FROM y WINDOW w AS (PARTITION BY host, fam)
 )
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN mb + 1 >= 0.8 * (mn + 2) THEN 'block' ELSE 'allow' END) AS verdict
-FROM u2 JOIN z USING (host, t0, t1, t2, more)
+SELECT page_id, g.host, path, rule, coalesce(g.rv, CASE WHEN mb + 2 * prior >= 0.8 * (mn + 2) - 1e-9 THEN 'block' ELSE 'allow' END) AS verdict
+FROM g JOIN t ON t.r = g.r AND t.i = len(t.sg) JOIN z ON z.host = t.host AND z.tpl = t.tpl
 """,
 }
