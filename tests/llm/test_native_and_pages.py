@@ -202,12 +202,79 @@ def test_embedded_elements_without_end_tag(spark):
     tags = ["<svg/>", "<svg a='x' />", '<svg a="x"/>', "<math/>", "<MATH a=b />", "<svg a=1>", "<iframe src=x>", "<canvas>", "<video controls>", "<object data=x>", "<select>"]
     pages = [f"<article><p>one {t} two</p><p>three</p></article>" for t in tags]
     # a self-closed one does not reach for another's end tag
-    pages += [f"<article><p>one {t} two</p><p>three</p><svg><text>no</text></svg><math><mi>no</mi></math></article>" for t in tags[:5]]
-    pages += ["<article><p>one <svg a=b/c><g/>no</svg> two</p><p>three</p></article>", "<article><p>one two</p><p>three</p><script/>no <p>no"]
+    pages += [f"<article><p>one {t} two</p><p>three</p><iframe>no</iframe><template>no</template></article>" for t in tags[:5]]
+    pages += ["<article><p>one <svg a=b/c><g/></svg> two</p><p>three</p></article>", "<article><p>one two</p><p>three</p><script/>no <p>no"]
     got = extracted(spark, [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)])
     assert got == dict.fromkeys(range(len(pages)), "one two\nthree")
 
 
+def test_text_of_embedded_elements_and_named_parts_stays(spark):
+    parts = ["<math><mi>{}</mi></math>", "<noscript>{}</noscript>", "<object data=x>{}</object>", "<canvas>{}</canvas>", "<video><source src=x>{}</video>", "<svg><title>no</title><text>{}</text></svg>"]
+    parts += [f"<{t} class={c}>{{}}</{t}>" for t, c in (("p", "related"), ("p", "reviews"), ("div", "form-factor"), ("div", "b-side"), ("section", "reviews"), ("ul", "search-results"), ("p", "notice"))]
+    gone = ["<div class='x comments'>no</div>", "<div id=comment-12>no</div>", "<aside>no</aside>", "<nav>no</nav>", "<form>no</form>", "<div class=cookie-notice>no</div>", "<div class=ad>no</div>"]
+    page = "<article><p>first</p>" + "".join(p.format(f"<span>kept{i}</span>") + gone[i % len(gone)] for i, p in enumerate(parts)) + "<p>last</p></article>"
+    got = extracted(spark, [(i, "http://a.org/", page) for i in range(3)])
+    assert set(got.values()) == {"\n".join(["first", *[f"kept{i}" for i in range(len(parts))], "last"])}
+
+
+def test_long_pages_are_linear():
+    """Ten times the page takes about ten times as long, broken or deep."""
+    import time
+    import tracemalloc
+
+    makers = [
+        lambda n: "<article>" + "<b>x" * n + "</article>", lambda n: "<a " * n, lambda n: "<a '" * n, lambda n: '<a href="' * n + ">", lambda n: "<div>" * n + "x" + "</div>" * n,
+        lambda n: "<li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<i>" * n + "</u>" * n, lambda n: "<!--" * n, lambda n: "<svg>" * n, lambda n: "<" * n, lambda n: "<iframe>" * n, lambda n: "<p>a" * n,
+    ]
+
+    def seconds(page):
+        began = time.process_time()
+        scores = hx.container_scores(page)
+        hx.extract(page, list(scores)[:1])
+        return time.process_time() - began
+
+    for make in makers:
+        seconds(make(1000))
+        assert seconds(make(100_000)) < 0.5 + 25 * seconds(make(10_000)), make(3)
+    assert seconds("<a " * 3_500_000) < 60  # 10 MB
+    tracemalloc.start()
+    hx.extract("<div>" * 100_000 + "x", [0])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_pages_as_an_html_parser_sees_them(spark, sf):
+    """All pages against the standard library's parser: blocks under the article, boilerplate elements left out."""
+    from html.parser import HTMLParser
+
+    blocks_at = {"p", "br", "h1", "h2", "div", "article", "section", "li", "ul", "footer", "nav"}
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.on, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.on |= tag == "article"
+            if tag in blocks_at:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.on &= tag != "article"
+            if tag in blocks_at:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.on:
+                self.blocks[-1] += data
+
+    for r in QUERIES["op8_html_extraction"](spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        parser = Article()
+        parser.feed(r["html"])
+        parser.close()
+        assert r["text"] == "\n".join(" ".join(b.split()) for b in parser.blocks if b.strip())
+
+
 def test_names_of_headings_and_paragraphs_in_articles(spark):
     page = "<article><h2 id='related-work'>Related work</h2><p class='notice-period'>{}</p><h3 id=search-algorithms class=side>Search</h3><p>end</p><div class=share><p>no</p></div></article><p class=ad>no</p>"
     got = extracted(spark, [(i, "http://a.org/", page.format(f"text {i}")) for i in range(3)])
