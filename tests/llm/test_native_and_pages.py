@@ -10,7 +10,7 @@ from tidemark.llm import quality_rules, sharding, url_filters
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op9_quality_rules", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op8_html_extraction", "op9_quality_rules", "op10_url_filters"])
 def test_query_equals_sql(spark, sf, duck, same_rows, name):
     same_rows(QUERIES[name](spark, sf), duck, ORACLE_SQL[name])
 

@@ -165,6 +165,18 @@ WITH RECURSIVE w AS (
 )
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(c) AS c FROM c GROUP BY u) m ON m.u = w.doc_id
+""",
+    "op8_html_extraction": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '(?i)</?(?:p|br|h[1-6]|div|section|ul|ol|li)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS h FROM a
+), c AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g') AS h FROM b
+), d AS (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[\s\xA0]+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS text FROM c
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
 """,
     "op10_url_filters": r"""
 WITH RECURSIVE a AS (
