@@ -54,7 +54,7 @@ HOT_COUNT, HOT_TABLE = 32, 1 << 18
 #: Groups on one prefix shingle up to which they are paired.
 LIST_ROWS = 256
 #: Documents and shingles of a part; a block holds one or two.
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 200_000
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int = WORDS) -> list[np.ndarray]:
@@ -290,7 +290,8 @@ def _verify(percent: int):
 
 def _linked(docs: DataFrame, where: DataFrame, words: int, percent: int) -> DataFrame:
     """``u, v``: verified links (or paths of these) within blocks.  ``where``: id, blocks, label, look."""
-    rows = docs.join(where, "id").select(F.explode("blocks").alias("block"), "id", "label", "look", "text")
+    # dealt by id at every size: a broadcast would hold some rows of every near copy
+    rows = docs.join(where.hint("merge"), "id").select(F.explode("blocks").alias("block"), "id", "label", "look", "text")
     sets = rows.mapInArrow(_gather(words), "block string, id long, label long, look boolean, s binary")
     return table(sets.groupBy("block").applyInArrow(_verify(percent), "u long, v long"))
 
