@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import TidemarkError
+
 KIND_PRICE, KIND_VOLUME, KIND_TRADE, KIND_ORDERBOOK, KIND_TIME = range(5)
 SIDE_BUY, SIDE_SELL = 0, 1
 #: The symbol of clock ticks; a symbol spelled like this is the same.
@@ -68,22 +70,25 @@ def route(df: DataFrame, symbol: str | None = None, kind: int | None = None) ->
     return df
 
 
-def as_events(df: DataFrame) -> DataFrame:
-    """``df`` with exactly the event columns: missing ones null, symbols normalised, clock ticks global."""
+def as_events(df: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with exactly the event columns (and those of ``keep``): missing ones null, symbols normalised, clock ticks global."""
     cols = []
     for f in SCHEMA.fields:
         c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
         if f.name == "symbol":
             c = F.when(F.col("kind") == KIND_TIME, F.lit(GLOBAL)).otherwise(normalize_symbol(c))
         cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
-def trades(df: DataFrame, seq: str = "seq", symbol: str = "symbol", time: str = "ts", price: str = "price", volume: str = "volume", side: str | None = None) -> DataFrame:
-    """Trade events from a frame with its own column names."""
+def trades(df: DataFrame, seq: str = "seq", symbol: str = "symbol", time: str = "ts", price: str = "price", volume: str = "volume", side: str | None = None,
+           keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Trade events from a frame with its own column names; ``side`` must hold integers, which are not rounded to codes."""
+    if side and dict(df.dtypes)[side] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TidemarkError(f"column {side} must hold side codes")
     return as_events(
         df.select(
             F.col(seq).alias("seq"), F.lit(KIND_TRADE).alias("kind"), F.col(symbol).alias("symbol"), F.col(time).alias("ts"),
-            F.col(price).alias("price"), F.col(volume).alias("volume"), (F.col(side) if side else F.lit(None)).cast("int").alias("side"),
-        )
-    )
+            F.col(price).alias("price"), F.col(volume).alias("volume"), (F.col(side) if side else F.lit(None)).cast("int").alias("side"), *keep,
+        ), keep,
+    )

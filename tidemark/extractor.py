@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import TidemarkError
-from .events import SOURCES, as_events, lower_ascii, trades
-from .functions.clock import day_of_week, time_since_first_event_of_day
+from .events import KIND_TRADE, SOURCES, as_events, lower_ascii, trades
+from .functions.clock import day_of_week, with_time_since_first_event_of_day
 from .operators.sample import classified, ema, moving_average, volume_delta
 from .operators.snapshot import chunk_bounds, chunk_of, forward_fill
 from .operators.timed import timed_cells
 from .plans.features import CompiledSet, FeatureDefinition, FeatureSet, WarmupPolicy, compile_set
 from .plans.validate import validate
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+_NUMBERS = (*_INTEGERS, "float", "double", "decimal")
 TIMED = ("sma_timed", "obv_timed", "count_timed")
 
 
@@ -57,17 +61,31 @@ class FeatureExtractor:
         if clash := {seq, symbol, time} & set(self.feature_names()):
             raise TidemarkError(f"feature and column names collide: {', '.join(sorted(clash))}")
         types = dict(df.dtypes)
-        if types[time] not in ("tinyint", "smallint", "int", "bigint"):
-            raise TidemarkError(f"column {time} must hold integers")
-        if types[symbol] != "string":
-            raise TidemarkError(f"column {symbol} must hold strings")
-        ev = trades(df, seq, symbol, time, price, volume, side)
+        for names, fit, what in (([time], _INTEGERS, "integers"), ([symbol], ("string",), "strings"), ([price, volume], _NUMBERS, "integers or floats"), ([side] if side else [], _INTEGERS, "side codes")):
+            if wrong := [n for n in names if types[n].split("(")[0] not in fit]:
+                raise TidemarkError(f"column {wrong[0]} must hold {what}")
+        if deaf := [d.name for d in self.compiled.cells if d.source in SOURCES and SOURCES[d.source][0] != KIND_TRADE]:
+            warnings.warn(f"trades never update these features: {', '.join(deaf)}", stacklevel=2)
+        ev = trades(df.withColumn("_symbol", F.col(symbol)), seq, symbol, time, price, volume, side, keep=["_symbol"])
         if check:
             validate(ev, positive=True, strict_side=strict_side and side is not None)
-        spelled = df.select(F.col(seq).cast("long").alias("seq"), F.col(symbol).alias("_symbol"))
-        out = self._cells(ev).join(spelled, "seq")
+        out = self._cells(ev, ["_symbol"])
         return out.select(F.col("seq").alias(seq), F.col("_symbol").alias(symbol), F.col("ts").alias(time), *[F.col(f"`{n}`") for n in self.feature_names()])
 
+    def invocations(self, events: DataFrame) -> DataFrame:
+        """``seq, updated``: how many groups each event updates."""
+        hits = []
+        for g in self.compiled.groups:
+            d = g[0]
+            if d.kind in ("sma", "ema"):
+                hits.append((F.col("symbol") == d.symbol) & (F.col("kind") == SOURCES[d.source][0]))
+            elif d.kind == "cvd":
+                hits.append((F.col("symbol") == d.symbol) & classified())
+            else:
+                hits.append(F.lit(True))
+        total = sum((F.coalesce(h, F.lit(False)).cast("long") for h in hits), F.lit(0).cast("long"))
+        return as_events(events).select("seq", total.alias("updated"))
+
     def values(self, events: DataFrame) -> DataFrame:
         """The last row: the vector after all events."""
         out = self.transform(events)
@@ -75,13 +93,15 @@ class FeatureExtractor:
 
     # -- plan --
 
-    def _cells(self, ev: DataFrame) -> DataFrame:
+    def _cells(self, ev: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
         cells = self.compiled.cells
         sample = [d for d in cells if d.kind in ("sma", "cvd", "ema")]
+        timed = [g for g in self.compiled.groups if g[0].kind in TIMED]
         work = ev
         filled: list[str] = []
-        if sample:
+        if sample or timed:
             work = work.withColumn("_ck", chunk_of(chunk_bounds(ev)))
+        if sample:
             work = self._with_ema(work, [d for d in sample if d.kind == "ema"])
             cols: dict[str, Column] = {}
             for d in sample:
@@ -91,18 +111,20 @@ class FeatureExtractor:
             work = work.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in cols.items()])
             filled = [d.name for d in sample]
             work = forward_fill(work, filled)
-        timed = [g for g in self.compiled.groups if g[0].kind in TIMED]
         work, by_name = timed_cells(work, timed) if timed else (work, {})
+        for d in cells:
+            if d.kind == "time_since_first_event_of_day":
+                work = with_time_since_first_event_of_day(work, f"_since{d.offset}", d.offset)
         out = []
         for d in cells:
             if d.kind == "day_of_week":
                 c = day_of_week(F.col("ts"))
             elif d.kind == "time_since_first_event_of_day":
-                c = time_since_first_event_of_day(F.col("ts"), d.offset)
+                c = F.col(f"`_since{d.offset}`")
             else:
                 c = by_name.get(d.name, F.col(f"`{d.name}`"))
             out.append((c.cast("float") if self.output_dtype == "float32" else c.cast("double")).alias(d.name))
-        return work.select("seq", "symbol", "ts", *out)
+        return work.select("seq", "symbol", "ts", *carry, *out)
 
     @staticmethod
     def _sample(d: FeatureDefinition) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 DAY_MS = 86_400_000
 
@@ -24,9 +23,12 @@ def local_day(ts: Column, offset: int = 0) -> Column:
     return floor_to(ts + F.lit(offset).cast("long"), DAY_MS)
 
 
-def time_since_first_event_of_day(ts: Column, offset: int = 0) -> Column:
-    """Milliseconds since the first event of the offset-local day.
+def with_time_since_first_event_of_day(df: DataFrame, name: str, offset: int = 0, ts: str = "ts") -> DataFrame:
+    """``df`` with the milliseconds since the first event of the offset-local day.
 
-    Times do not decrease along ``seq``, so the day's minimum is its first event's."""
-    first = F.min(ts).over(Window.partitionBy(local_day(ts, offset)))
-    return F.greatest(ts - first, F.lit(0).cast("long")).cast("double")
+    Times do not decrease along ``seq``, so the day's minimum is its first event's.  Rows are not moved: what
+    is broadcast has one row a calendar day, 3.7 million in ten thousand years."""
+    day = f"_day{offset}".replace("-", "m")
+    first = df.groupBy(local_day(F.col(ts), offset).alias(day)).agg(F.min(ts).alias("_first"))
+    joined = df.withColumn(day, local_day(F.col(ts), offset)).join(F.broadcast(first), day, "left")
+    return joined.withColumn(name, F.greatest(F.col(ts) - F.col("_first"), F.lit(0).cast("long")).cast("double")).drop(day, "_first")

@@ -11,36 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Chunks a session's shuffle partition; also the bound of the carry table.
-CHUNKS_PER_PARTITION = 2
+#: Chunks a session's shuffle partition at least, and rows of a chunk on average at most.
+CHUNKS_PER_PARTITION, CHUNK_ROWS = 2, 1_000_000
 
 
 def chunk_bounds(df: DataFrame, seq: str = "seq", chunks: int | None = None) -> list[int]:
-    """Inner chunk edges: at most ``chunks - 1`` numbers, by approximate quantiles."""
-    n = chunks or CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Inner chunk edges by approximate quantiles: chunks of ``CHUNK_ROWS`` rows, but some a shuffle partition."""
+    n = chunks
+    if n is None:
+        n = max(CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
     if n < 2:
         return []
-    got = df.agg(F.percentile_approx(seq, [i / n for i in range(1, n)], 1000).alias("q")).first()["q"]
+    got = df.agg(F.percentile_approx(seq, [i / n for i in range(1, n)], max(1000, 4 * n)).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 
 def chunk_of(bounds: list[int], seq: str = "seq") -> Column:
-    """The chunk of a row: how many edges lie at or below its ``seq``."""
+    """The chunk of a row: how many edges lie at or below its ``seq``, by binary search."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col(seq)))
+    edges = F.array(*[F.lit(int(b)) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    at_most = lambda i: F.coalesce(F.get(edges, i - 1) <= F.col(seq), F.lit(False))  # noqa: E731  past the end: no
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(at_most(n + k), n + k).otherwise(n))
 
 
-def forward_fill(df: DataFrame, cells: list[str], seq: str = "seq", chunk: str = "_ck") -> DataFrame:
-    """``df`` (with its ``chunk`` column) with nulls of ``cells`` replaced by the last value before them."""
+def forward_fill(df: DataFrame, cells: list[str], seq: str = "seq", chunk: str = "_ck", before: bool = False) -> DataFrame:
+    """``df`` (with its ``chunk`` column) with nulls of ``cells`` replaced by the last value before them;
+    with ``before`` every value is replaced by the last one before its row."""
     if not cells:
         return df
     safe = [f"_c{i}" for i in range(len(cells))]
     tails = df.groupBy(chunk).agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(seq))).alias(s) for c, s in zip(cells, safe, strict=True)])
     # one row a chunk: this window is over that small table only
-    before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(chunk, *[F.last(s, ignorenulls=True).over(before).alias(s) for s in safe])
-    inside = Window.partitionBy(chunk).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(chunk, *[F.last(s, ignorenulls=True).over(earlier).alias(s) for s in safe])
+    inside = Window.partitionBy(chunk).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     joined = df.join(F.broadcast(carry), chunk, "left")
     keep = [F.col(f"`{c}`") for c in df.columns if c not in cells]
     return joined.select(*keep, *[F.coalesce(F.last(F.col(f"`{c}`"), ignorenulls=True).over(inside), F.col(s)).alias(c) for c, s in zip(cells, safe, strict=True)])

@@ -148,7 +148,7 @@ def day_of_week(spark, sf_dir):
 
 
 def _since(spark, sf_dir, offset):
-    return _trades(spark, sf_dir).select("seq", clock.time_since_first_event_of_day(F.col("ts"), offset).alias("since"))
+    return clock.with_time_since_first_event_of_day(_trades(spark, sf_dir), "since", offset).select("seq", "since")
 
 
 def time_since_first_event_utc(spark, sf_dir):
