@@ -25,7 +25,9 @@ of at most ``BLOCK_WORDS`` words, each block one pass over the documents.
 Defined results
 ---------------
 * null or empty text, no words: no row.  A null id: rows carry the null id.
-* items that are null, empty or have fewer than ``min_words`` words: not searched for.
+* items that are null or have no words: not searched for.  Items so short that no edit is allowed
+  (under five words) are looked up by their words' hash: every copy of them is a hit.
+* null item ids: searched for like others; their rows carry the null id.
 * ``n_words`` and the byte span are those of the passage, which may have up to k words more
   or fewer than its item.  Texts of n - k words and more are looked at.
 * ties: per document and item the passage of least distance, then the leftmost, then the one
@@ -44,9 +46,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U, Words, grams, lower, mix, powers, ranges, steps, text_bytes
+from .scratch import drop, table
+from .textops import U, Words, grams, lower, mix, powers, ranges, small_batches, steps, text_bytes
 
-SIMILARITY, MIN_WORDS = 0.8, 5
+SIMILARITY, MIN_WORDS = 0.8, 1
 WALKS, TABLES, SAMPLED = 8, 4, 2
 #: Words of items that are shipped at once (8 bytes each, and as much again for their buckets).
 BLOCK_WORDS = 1_000_000
@@ -153,38 +156,75 @@ def _find(names: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Items by size, with their vocabulary and buckets."""
+    """Items by size, with their vocabulary and buckets.
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS):
+    Items are kept one after the other and padded only for the step that needs them, so one long item
+    does not widen the others."""
+
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS):
         raw = [(t or "").encode() for _, t in items]
         off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         w = Normal(np.frombuffer(b"".join(raw), np.uint8), off)
         count = np.diff(w.first)
-        use = np.flatnonzero(count >= min_words)
-        self.n = count[use]
-        self.longest = int(self.n.max(initial=0))
-        self.edits = ((1 - similarity) * self.n + 1e-9).astype(np.int64)
-        self.items = np.array([items[r][0] for r in use], np.int64)
-        self.words = _rows(w.hash, w.first[use], self.n, self.longest + 1)
-        keys = buckets(self.words, self.n)
+        edits = ((1 - similarity) * count + 1e-9).astype(np.int64)
+        #: items that allow no edit: by size, hashes of their words and whose they are
+        self.exact: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.flat = w.hash
+        use = np.flatnonzero((count >= max(1, min_words)) & (edits > 0))
+        short = np.flatnonzero((count >= max(1, min_words)) & (edits == 0))
+        every = np.concatenate((use, short))
+        self.ids = pa.array([items[r][0] for r in every], pa.int64())
+        self.n, self.at, self.edits = count[every], w.first[every], edits[every]
+        for n in np.unique(count[short]).tolist():
+            own = np.flatnonzero((self.n == n) & (self.edits == 0))
+            key = np.array([grams(w.hash[a : a + n], n)[0] for a in self.at[own].tolist()], np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.exact.append((n, key[order], own[order]))
+        m = len(use)
+        self.longest = int(self.n[:m].max(initial=0))
+        keys = np.zeros((m, WALKS * TABLES), np.uint64)
+        order, at = np.argsort(self.n[:m], kind="stable"), 0
+        while at < m:  # by size: rows of a step are about as long, and a step's walks take bounded memory
+            o = order[at : at + max(1, 1_000_000 // int(self.n[order[at]]))]
+            o = o[: max(1, int(np.searchsorted(self.n[o] * np.arange(1, len(o) + 1), 1_000_000)))]
+            keys[o] = buckets(self.rows(o, int(self.n[o].max()) + 1), self.n[o])
+            at += len(o)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.owner = keys.ravel()[order], order // keys.shape[1]
         #: (words, edits allowed, hashes of these items' words)
-        self.sizes = [(n, int((1 - similarity) * n + 1e-9), np.unique(self.words[self.n == n][:, :n])) for n in np.unique(self.n).tolist()]
+        by = {n: np.flatnonzero(self.n[:m] == n) for n in np.unique(self.n[:m]).tolist()}
+        self.sizes = [(n, int((1 - similarity) * n + 1e-9), np.unique(self.flat[ranges(self.at[o], self.n[o])])) for n, o in by.items()]
         self.vocabulary = np.unique(np.concatenate([s[2] for s in self.sizes])) if self.sizes else np.zeros(0, np.uint64)
         self.uses = [np.append(np.isin(self.vocabulary, s[2]), False) for s in self.sizes]
-        self.pairs = np.unique(np.concatenate([grams(row[:n], 2) for row, n in zip(self.words, self.n, strict=True)])) if self.sizes else self.vocabulary
+        self.pairs = np.unique(grams(self.flat, 2)[ranges(self.at[:m], self.n[:m] - 1)]) if self.sizes else self.vocabulary
         # every window within its bound has a run of ``self.span`` word pairs of which ``self.least`` are an item's
         ns = [(s[0], s[1]) for s in self.sizes]
         self.span = min((n - 1 for n, _ in ns), default=1)
         self.least = max(0, min((self.span - 2 * k // ((n - 1) // self.span) for n, k in ns), default=0))
 
+    def rows(self, items: np.ndarray, width: int) -> np.ndarray:
+        """The words of items, zeros behind them."""
+        return _rows(self.flat, self.at[items], self.n[items], width)
+
+    def _copies(self, w: Normal) -> list[tuple]:
+        """Copies of the items that allow no edit."""
+        out, last = [], np.repeat(w.first[1:], np.diff(w.first))
+        for n, key, own in self.exact:
+            g = grams(w.hash, n)
+            lo, hi = np.searchsorted(key, g, "left"), np.searchsorted(key, g, "right")
+            s = np.flatnonzero(hi > lo)
+            s = s[last[s] - s >= n]
+            i = own[ranges(lo[s], hi[s] - lo[s])]
+            s = np.repeat(s, hi[s] - lo[s])
+            out.append((np.searchsorted(w.first, s, "right") - 1, i, np.zeros(len(s), np.int64), s, np.full(len(s), n)))
+        return out
+
     def matches(self, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         """All (text, item) hits: text, item, distance, size and the byte span of the passage."""
         w = Normal(raw, off)
         first = w.first
         names = ("text", "item", "distance", "start", "size")
-        out = [tuple(np.zeros(0, np.int64) for _ in names)]
+        out = [tuple(np.zeros(0, np.int64) for _ in names), *self._copies(w)]
         at = self._dense(w.hash)  # the words near enough to items' word pairs
         if len(at):
             s, size, n, pad = self._windows(w.hash, at, first)
@@ -193,7 +233,7 @@ class Benchmark:
             text = np.searchsorted(first, start, "right") - 1
             out.append((text[exact], item[exact], np.zeros(int(exact.sum()), np.int64), start[exact], self.n[item[exact]]))
             # nothing is nearer than a copy, and copies are all found
-            pair = text * len(self.items) + item
+            pair = text * len(self.n) + item
             rest = ~np.isin(pair, pair[exact])
             out += self._verify(w.hash, first, text[rest], item[rest], start[rest])
         got = {x: np.concatenate(c) for x, c in zip(names, zip(*out, strict=True), strict=True)}
@@ -207,7 +247,6 @@ class Benchmark:
             got["to"] = w.end[got["start"] + got["size"] - 1] - base
         else:
             got["from"] = got["to"] = got["start"]
-        got["item"] = self.items[got["item"]]
         return got
 
     def _windows(self, h: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,22 +300,29 @@ class Benchmark:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * pw[: len(h)])))
             key = mix((sums[s + size] - sums[s]) * ipw[s] + (n.astype(np.uint64) << U(32) | pad.astype(np.uint64)) * U(0x100000001B3))
         _, one, back, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        one = one[by := np.argsort(n[one], kind="stable")]  # windows of a step are about as long
+        back = np.argsort(by)[back]
+        copies = copies[by]
         order, begin = np.argsort(back, kind="stable"), np.cumsum(copies) - copies
-        part = max(1, 1_500_000 // (self.longest + 1))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
-        for at in range(0, len(one), part):
-            o = one[at : at + part]
-            windows = _rows(h, s[o], size[o], self.longest + 1, pad[o])
+        out, m = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))], len(self.n)
+        at = 0
+        while at < len(one):
+            o = one[at : at + max(1, 1_500_000 // int(n[one[at]] + 1))]
+            o = o[: max(1, int(np.searchsorted((n[o] + 1) * np.arange(1, len(o) + 1), 1_500_000)))]
+            width = int(n[o].max()) + 1
+            part = max(1, 1_500_000 // width)
+            windows = _rows(h, s[o], size[o], width, pad[o])
             b = buckets(windows, n[o]).ravel()
             lo, hi = np.searchsorted(self.keys, b, "left"), np.searchsorted(self.keys, b, "right")
             window = np.repeat(np.arange(len(o)), WALKS * TABLES)
-            pair = np.unique(np.repeat(window, hi - lo) * len(self.items) + self.owner[ranges(lo, hi - lo)])
+            pair = np.unique(np.repeat(window, hi - lo) * m + self.owner[ranges(lo, hi - lo)])
             for p in range(0, len(pair), part):
-                i, j = np.divmod(pair[p : p + part], len(self.items))
+                i, j = np.divmod(pair[p : p + part], m)
                 ok = n[o[i]] == self.n[j]
                 i, j = i[ok], j[ok]
-                same, u = (windows[i] == self.words[j]).all(axis=1), i + at
+                same, u = (windows[i] == self.rows(j, width)).all(axis=1), i + at
                 out.append((order[ranges(begin[u], copies[u])], np.repeat(j, copies[u]), np.repeat(same, copies[u])))
+            at += len(o)
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def _verify(self, h: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple]:
@@ -304,7 +350,7 @@ class Benchmark:
             o = order[at:to]
             to = at + max(1, int(np.searchsorted(np.maximum.accumulate(size[o]) * np.arange(1, len(o) + 1), 2_000_000)))
             o = order[at:to]
-            d, a, e = best_passages(self.words[item[o]], _rows(h, lo[o], size[o], int(size[o].max())), n[o], size[o])
+            d, a, e = best_passages(self.rows(item[o], int(n[o].max())), _rows(h, lo[o], size[o], int(size[o].max())), n[o], size[o])
             ok = (d <= k[o]) & (e > a)
             out.append((text[o][ok], item[o][ok], d[ok], (lo[o] + a)[ok], (e - a)[ok]))
             at = to
@@ -321,7 +367,7 @@ def _scan(shipped):
                 m = bench.matches(*text_bytes(batch.column("text")))
                 if len(m["text"]):
                     ids = batch.column("doc_id").take(pa.array(m["text"]))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(m[x].astype(np.int64)) for x in ("item", "distance", "size", "from", "to")]], names)
+                    yield pa.RecordBatch.from_arrays([ids, bench.ids.take(pa.array(m["item"])), *[pa.array(m[x].astype(np.int64)) for x in ("distance", "size", "from", "to")]], names)
 
     return f
 
@@ -338,32 +384,46 @@ def _clean(shipped, text: str):
     return f
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, similarity: float, min_words: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about BLOCK_WORDS words; one at a time is on the driver."""
-    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, similarity: float, min_words: int) -> tuple[int, Iterator[Benchmark]]:
+    """How many blocks of about BLOCK_WORDS words the benchmark has, and the blocks; one at a time is on the driver."""
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     words = items.agg(F.sum(F.size(F.split("t", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     blocks = int(words // BLOCK_WORDS) + 1
     dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    for b in range(blocks):
-        yield Benchmark([(r["i"], r["t"]) for r in dealt.filter(F.col("block") == b).collect()], similarity, min_words)
+    return blocks, (Benchmark([(r["i"], r["t"]) for r in dealt.filter(F.col("block") == b).collect()], similarity, min_words) for b in range(blocks))
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, n_words, start_byte, end_byte``: the best window of each document
     for each item that contaminates it."""
+    spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    blocks, every = _blocks(benchmark, item_id, item_text, similarity, min_words)
     out = None
-    for bench in _blocks(benchmark, item_id, item_text, similarity, min_words):
-        shipped = df.sparkSession.sparkContext.broadcast(bench)
+    for bench in every:
+        shipped = spark.sparkContext.broadcast(bench)
         hits = docs.mapInArrow(_scan(shipped), "doc_id long, item_id long, distance long, n_words long, start_byte long, end_byte long")
+        if blocks > 1:  # one block's broadcast at a time
+            hits = table(hits)
+            shipped.destroy()
         out = hits if out is None else out.union(hits)
     return out if doc_id == "doc_id" else out.withColumnRenamed("doc_id", doc_id)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` without its contaminated rows."""
-    for bench in _blocks(benchmark, item_id, item_text, similarity, min_words):
-        df = df.mapInArrow(_clean(df.sparkSession.sparkContext.broadcast(bench), text), df.schema)
+    """``df`` without its contaminated rows.  Columns of ``df`` may have any names."""
+    spark = df.sparkSession
+    small_batches(spark)
+    blocks, every = _blocks(benchmark, item_id, item_text, similarity, min_words)
+    for i, bench in enumerate(every):
+        shipped, before = spark.sparkContext.broadcast(bench), df
+        df = before.mapInArrow(_clean(shipped, text), df.schema)
+        if blocks > 1:
+            df = table(df)
+            if i:
+                drop(spark, before)
+            shipped.destroy()
     return df
