@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontamination, language_id, license_scans
 from tidemark.llm.queries import QUERIES, tokenizer_path
@@ -127,6 +128,24 @@ def test_contaminated_by_dropped_and_inserted_words(spark, docs_of, words):
     assert {r["doc_id"]: r["distance"] for r in hits}[0] == 1
 
 
+def test_short_items_null_ids_blocks_and_ties(spark, docs_of, words, monkeypatch):
+    """Items of any length and without an id; blocks one after the other; equal items and passages."""
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three four"), (None, " ".join(words(20, 1))), (5, " ".join(words(30, 2))), (6, " ".join(words(30, 2))), (7, " ".join(words(1200, 3)))]
+    near = words(30, 2)
+    near[7] = "changed"
+    rows = [(1, "x Alpha, y"), (2, "beta. gamma!"), (3, "gamma beta"), (4, "zero one two three four five"), (5, "a " + items[3][1] + " b"), (6, " ".join(near) + " mid " + " ".join(near)), (7, "z " + items[6][1]), (8, "one two three"), (None, "alpha")]
+    want = {(1, 1, 0), (None, 1, 0), (2, 2, 0), (4, 3, 0), (5, None, 0), (6, 5, 1), (6, 6, 1), (7, 7, 0)}
+    for size in (decontamination.BLOCK_WORDS, 60):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", size)
+        hits = decontamination.contaminated(docs_of(rows), bench_frame(spark, items)).collect()
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in hits} == want and len(hits) == len(want)
+        assert {r["start_byte"] for r in hits if r["doc_id"] == 6} == {0}
+        assert {r["doc_id"] for r in decontamination.decontaminate(docs_of(rows), bench_frame(spark, items)).collect()} == {3, 8}
+    none = bench_frame(spark, items).limit(0)
+    assert decontamination.contaminated(docs_of(rows), none).count() == 0 and decontamination.decontaminate(docs_of(rows), none).count() == len(rows)
+    assert decontamination.decontaminate(docs_of(rows).limit(0), bench_frame(spark, items)).count() == 0
+
+
 def test_best_passages(words):
     import numpy as np
 
@@ -222,3 +241,76 @@ def test_license_query_equals_brute_force(spark, sf):
             if v & set(s) and any(len(v & set(s[i : i + n])) >= 0.8 * len(v) for i in range(len(s) - n + 1)):
                 want.add((d["doc_id"], name))
     assert {(r["doc_id"], r["license"]) for r in QUERIES["op5_license_scans"](spark, sf).collect()} == want
+
+
+def plain_ftrl(samples, languages, size, epochs, order):
+    """Follow the regularised leader, coordinate by coordinate."""
+    import math
+
+    z = [[0.0] * len(languages) for _ in range(size)]
+    n = [[0.0] * len(languages) for _ in range(size)]
+
+    def w(i, k):
+        if abs(z[i][k]) <= language_id.L1:
+            return 0.0
+        return -(z[i][k] - math.copysign(language_id.L1, z[i][k])) / ((language_id.BETA + math.sqrt(n[i][k])) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(epochs):
+        for s in order(len(samples)):
+            x, y = samples[s]
+            scores = [sum(v * w(i, k) for i, v in x) for k in range(len(languages))]
+            top = max(scores)
+            e = [math.exp(v - top) for v in scores]
+            old = {(i, k): w(i, k) for i, _ in x for k in range(len(languages))}
+            for i, v in x:
+                for k in range(len(languages)):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / language_id.ALPHA
+                    z[i][k] += g - sigma * old[i, k]
+                    n[i][k] += g * g
+    return [[w(i, k) for k in range(len(languages))] for i in range(size)]
+
+
+def test_training_step_and_calibration_against_plain_code():
+    import math
+
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(9))
+    idf = 1 + rng.random(12)
+    samples = []
+    for i in range(60):
+        y = "abc"[i % 3]
+        at = np.unique(np.concatenate((rng.integers(0, 12, 3), [4 * "abc".index(y)] if i % 7 else [11])))
+        samples.append((at, rng.integers(1, 4, len(at)), y, i % 5 == 0))
+    model = language_id.fit(samples, idf)
+    rows = []
+    for at, c, y, out in samples:
+        v = [(1 + math.log(k)) * idf[i] for i, k in zip(at, c, strict=True)]
+        norm = math.sqrt(sum(x * x for x in v))
+        rows.append(([*[(int(i), x / norm) for i, x in zip(at, v, strict=True)], (12, 1.0)], "abc".index(y), out))
+    perm = np.random.Generator(np.random.PCG64(1))
+    want = plain_ftrl([(x, y) for x, y, out in rows if not out], "abc", 13, language_id.EPOCHS, lambda m: perm.permutation(m).tolist())
+    assert np.allclose(model.weights, want, atol=1e-9) and (model.weights == 0).any()
+
+    def loss(t):
+        total = 0.0
+        for x, y, out in rows:
+            if out:
+                s = [sum(v * want[i][k] for i, v in x) / t for k in range(3)]
+                total += math.log(sum(math.exp(v) for v in s)) - s[y]
+        return total
+
+    fine = min((loss(t), t) for t in np.exp(np.linspace(math.log(0.05), math.log(20), 2000)))
+    assert loss(model.temperature) <= fine[0] * 1.001 + 1e-6 and loss(model.temperature) <= loss(1.0)
+
+
+def test_language_stage_edges(spark, docs_of, edges, words):
+    """Without labels only texts without letters go; ties, repeated rows, very long texts and any column names are fine."""
+    rows = [*edges, (20, " ".join(words(60_000, 1))), (21, "same"), (21, "same")]
+    none = spark.createDataFrame([(i, t, None, "x", 1) for i, t in rows], "doc_id long, text string, lang string, h string, f int")
+    kept = sorted(map(repr, (r["doc_id"] for r in language_id.keep_identified(none).collect())))
+    assert kept == sorted(map(repr, [i for i, t in rows if t and any(c.isalpha() for c in t)]))
+    assert language_id.keep_identified(none.limit(0)).count() == 0
+    one = none.withColumn("lang", F.lit("en"))
+    assert {(r["lang_pred"], r["score"]) for r in language_id.language_id(one).collect()} == {("en", 1.0), ("und", 0.0)}

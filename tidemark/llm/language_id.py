@@ -6,8 +6,9 @@ follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) from a
 these is kept out of it and fits the temperature of the soft-max.  Prediction is
 map-only and sees nothing but the text.
 
-What reaches the driver: ``FEATURES`` document frequencies, one count per language and the
-sparse features of the sample.  The broadcast model is FEATURES x languages floats.
+What reaches the driver: ``FEATURES`` document frequencies, counts of the ``LANGUAGES`` most frequent
+labels (rarer ones are not learned) and the sparse features of at most 2 x ``SAMPLE`` documents.  The
+broadcast model is FEATURES x languages floats.
 
 Defined results
 ---------------
@@ -17,7 +18,8 @@ Defined results
 * null id: counted as the empty text for the fold, so it may be trained on.
 * repeated rows: predicted alike.  Ties: the language first in the alphabet.
 * very long texts: all of it counts, in steps of bounded memory for many short ones.
-* empty table: empty result.  Extra columns are ignored.
+* filtering without any labelled document: nothing can be called unclear, so only texts without letters go.
+* empty table: empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
-from .textops import steps, text_bytes
+from .textops import small_batches, steps, text_bytes
 
 #: Hashed n-gram features (a power of two), n from 1 to 3.
 BITS = 14
 FEATURES = 1 << BITS
 #: Bound of the training sample, per language.
 PER_LANGUAGE = 1500
+#: Bounds of the languages learned and of the whole sample, shared evenly where there are many.
+LANGUAGES, SAMPLE = 500, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 
 
@@ -165,18 +169,20 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model of the rows of ``df`` whose ``lang`` is not null."""
+    small_batches(df.sparkSession)
     rows = df.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"))
     df_rows = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     docs = df_rows.pop(FEATURES, 0)
     idf = np.zeros(FEATURES)
     for f, n in df_rows.items():
         idf[f] = np.log((1 + docs) / (1 + n)) + 1
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    chosen = F.lit(False)
-    for name, n in counts.items():
-        share = F.lit(int(min(1.0, per_language / n) * ((1 << 31) - 1)))
-        chosen = chosen | ((F.col("lang") == name) & (F.shiftrightunsigned("h", 33) <= share))
-    got = rows.filter(chosen).mapInArrow(_sample_features, "lang string, h long, at binary, n binary").orderBy("h", "lang").limit(2 * per_language * max(1, len(counts))).collect()
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not top:
+        return fit([], idf)
+    each = min(per_language, max(1, SAMPLE // len(top)))
+    shares = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], int(min(1.0, each / r["n"]) * ((1 << 31) - 1)))])
+    chosen = F.shiftrightunsigned("h", 33) <= shares[F.col("lang")]
+    got = rows.filter(chosen).mapInArrow(_sample_features, "lang string, h long, at binary, n binary").orderBy("h", "lang").limit(2 * each * len(top)).collect()
     samples = [(np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.int64), r["lang"], r["h"] % 5 == 0) for r in got]
     return fit(samples, idf)
 
@@ -216,13 +222,17 @@ def _keep(shipped, text: str, min_score: float):
         model = shipped.value
         for big in batches:
             for batch in steps(big, text):
-                p = [model.predict(t) for t in _texts(batch, text)]
-                yield batch.filter(pa.array([name != "und" and score >= min_score for name, score in p], pa.bool_()))
+                if model.languages:
+                    keep = [name != "und" and score >= min_score for name, score in map(model.predict, _texts(batch, text))]
+                else:
+                    keep = [len(ngrams(t)[0]) > 0 for t in _texts(batch, text)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return f
 
 
 def keep_identified(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.4) -> DataFrame:
-    """The rows of ``df`` whose language is identified with ``min_score``; the rest have no letters or too mixed ones."""
+    """The rows of ``df`` whose language is identified with ``min_score``; the rest have no letters or too mixed ones.
+    Without labels to learn from, only texts without letters go.  Columns of ``df`` may have any names."""
     model = train(df.filter(fold(doc_id) != 1), text, lang, doc_id)
     return df.mapInArrow(_keep(df.sparkSession.sparkContext.broadcast(model), text, min_score), df.schema)
