@@ -79,6 +79,48 @@ def test_sharding_hot_group(spark, words):
     assert len({r["shard"] for r in sharding.shard_documents(df, target_bytes=10_000).collect()}) >= 3
 
 
+def test_medians_against_sorting(spark):
+    """Every cut of the tree is the weighted median along the node's widest dimension, found by sorting."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(63) * rng.choice((1, -1)), rng.choice((1, 5, 30, 200)), rng.random(), rng.choice((0.0, 0.25, 1.0)), rng.random() / 3) for _ in range(700)]
+    rows += [(rng.getrandbits(62), 9000, 0.5, 0.5, 0.1), (rng.getrandbits(62), 7000, 0.1, 0.5, 0.1)]
+    leaf = {}
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            leaf.update((r[0], first) for r in part)
+            return
+        total = sum(r[1] for r in part)
+        spread = [max(r[2 + d] for r in part) - min(r[2 + d] for r in part) for d in range(3)]
+        d = spread.index(max(spread))
+        at = lambda r: ((0 if r[1] > total // 100 else (1 << 20) + int(r[2 + d] * ((1 << 20) - 1))) << 29) + ((r[0] % (1 << 64)) >> 35)
+        goal, below, cut = total * (n // 2) / n, 0, None
+        for r in sorted(part, key=at):
+            if below + r[1] >= goal:
+                cut = at(r) + (goal - below > below + r[1] - goal)
+                break
+            below += r[1]
+        split([r for r in part if at(r) < cut], first, n // 2)
+        split([r for r in part if at(r) >= cut], first + n // 2, n - n // 2)
+
+    split(rows, 0, 7)
+    got = sharding.kd_tree(spark.createDataFrame(rows, "h long, bytes long, a double, b double, c double"), ["a", "b", "c"], 7)
+    assert {r["h"]: r["shard"] for r in got.collect()} == leaf
+    with pytest.raises(ValueError, match="at most"):
+        sharding.kd_tree(got, ["a"], 1 << 20)
+
+
+def test_sharding_edges(spark, words):
+    """Null ids, repeated rows, tables without metadata, clashing names."""
+    rows = [(None, "same", 1, "x"), (1, "same", 1, "x"), (1, "same", 1, "x"), (2, None, 2, "y")] + [(10 + i, " ".join(words(9, i)), i, "z") for i in range(60)] + [(99, " ".join(words(3000, 7)), 1, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, h string")
+    got = sharding.shard_documents(df, 3).collect()
+    assert len(got) == len(rows) and len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"same")}) == 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(3))
+
+
 # -- op10 --
 
 
