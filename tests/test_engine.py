@@ -191,3 +191,59 @@ def test_bad_rows(spark, row, text):
     df = spark.createDataFrame([(0, "a", 0, 1.0, 1.0), row], "seq long, symbol string, ts long, price double, volume double")
     with pytest.raises(InvalidEvent, match=text):
         FeatureExtractor(FeatureSet().day_of_week()).compute_features(df)
+
+
+def test_input_types_and_deaf_features(spark):
+    ex = FeatureExtractor(FeatureSet().day_of_week())
+    df = spark.createDataFrame([(0, "a", 0, 1.0, 1, 0, 0.5, "1", True)], "seq long, symbol string, ts long, price double, volume int, side int, half double, text string, flag boolean")
+    assert ex.compute_features(df, side="side").count() == 1
+    for how, what in (({"side": "half"}, "side codes"), ({"price": "text"}, "integers or floats"), ({"volume": "flag"}, "integers or floats"), ({"time": "half"}, "integers"), ({"symbol": "ts", "time": "seq", "seq": "side"}, "strings")):
+        with pytest.raises(TidemarkError, match=what):
+            ex.compute_features(df, **how)
+    with pytest.warns(UserWarning, match="a:price:sma:5"):
+        FeatureExtractor(FeatureSet().sma("a", [5])).compute_features(df)
+    with pytest.raises(InvalidEvent, match="side must be 0 or 1"):
+        ex.compute_features(df.withColumn("side", df["side"] + 2), side="side")
+
+
+def test_state_goes_on_after_a_restart(spark):
+    """Two runs over halves of the events give what one run gives."""
+    from tidemark.streaming.run import stream_to_table
+
+    rows = stream(5, 120)
+    fs = FeatureSet().sma("btc", [2], source="trade_price").ema("eth", [3], source="trade_price").trade_count_timed("btc", "10ms", "50ms").day_of_week()
+    name, names = "restart-" + str(random.random()), FeatureExtractor(fs).feature_names()
+    for part in (rows[:70], rows[70:]):
+        out = stream_to_table(spark, spark.createDataFrame(part, SCHEMA), lambda s: stream_features(s, fs), name)
+    got = {r["seq"]: [None if r[n] is None or r[n] != r[n] else r[n] for n in names] for r in out.collect()}
+    assert len(got) == len(rows)
+    for seq, values in expected(fs, rows).items():
+        close(got[seq], values)
+
+
+def test_invocations_equal_the_stepper(spark):
+    rows, fs = stream(6, 150), features()
+    st, want = Stepper(fs), {}
+    for seq, kind, symbol, ts, price, volume, side, bid, ask in rows:
+        want[seq] = st.update(kind, symbol, ts, price=price, volume=volume, side=side, bid=bid, ask=ask)
+    assert {r["seq"]: r["updated"] for r in FeatureExtractor(fs).invocations(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_many_chunks(spark):
+    """Chunks by binary search, and timed cells over many of them."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import snapshot
+
+    bounds = [3, 10, 11, 40]
+    got = {r["seq"]: r["c"] for r in spark.range(60).select(F.col("id").alias("seq")).select("seq", snapshot.chunk_of(bounds).alias("c")).collect()}
+    assert got == {i: sum(b <= i for b in bounds) for i in range(60)}
+    rows, fs = stream(7, 300), features()
+    old, snapshot.CHUNK_ROWS = snapshot.CHUNK_ROWS, 4
+    try:
+        ex = FeatureExtractor(fs)
+        got = {r["seq"]: r for r in ex.transform(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        snapshot.CHUNK_ROWS = old
+    for seq, values in expected(fs, rows).items():
+        close([got[seq][n] for n in ex.feature_names()], values)

@@ -108,3 +108,32 @@ def test_relational_queries_equal_the_book(spark):
         assert q["microprice"] == (None if micro is None else pytest.approx(float(micro)))
         assert imb[u] == (None if im is None else pytest.approx(float(im)))
         assert dts.get(u) == d and dup[u] == p
+
+
+def test_last_change_and_snapshots_in_the_relation(spark):
+    """Several changes of one price in one update count by their ordinal; a snapshot replaces the book."""
+    import random
+
+    rng = random.Random(8)
+    b, rows, snaps, want = OrderBook(Policy.MONOTONIC, 10**9), [], [], {}
+    b.apply_snapshot(0, [], [])
+    for u in range(1, 90):
+        changes = []
+        for _ in range(rng.randint(1, 6)):
+            side = rng.choice([BID, ASK])
+            changes.append((side, D(rng.randint(96, 99) if side == BID else rng.randint(100, 103)), D(rng.randint(0, 4))))
+        if u % 20 == 0:
+            final = {(s, p): z for s, p, z in changes}
+            b.apply_snapshot(u, [(p, z) for (s, p), z in final.items() if s == BID], [(p, z) for (s, p), z in final.items() if s == ASK])
+            snaps.append(("x", u))
+        else:
+            b.apply_delta(u, changes)
+        rows += [("x", u, *c, i) for i, c in enumerate(changes)]
+        want[u] = {(s, p, z) for s, side in ((BID, b.bids), (ASK, b.asks)) for p, z in side.items()}
+    ch = spark.createDataFrame(rows, "book string, u long, side string, price decimal(18,8), size decimal(18,8), ordinal int").repartition(7, "ordinal")
+    sn = spark.createDataFrame(snaps, "book string, u long")
+    got = {}
+    for r in ob.levels_at(ch, ch.select("book", "u").distinct(), 16, sn).collect():
+        got.setdefault(r["u"], set()).add((r["side"], r["price"], r["size"]))
+    assert got == {u: v for u, v in want.items() if v}
+    assert [tuple(r) for r in ob.update_ids(ch, sn).collect()] == [("x", 89, 80)]

@@ -260,24 +260,57 @@ def synchronize(updates: DataFrame, policy: Policy = Policy.CONTIGUOUS, buffer_s
 # -- relational form --
 
 
-def levels_at(changes: DataFrame, points: DataFrame, bin_width: int = 64) -> DataFrame:
+def _bins(bin_width: int):
+    return lambda c: F.floor(c / F.lit(bin_width)).cast("long")
+
+
+def last_changes(changes: DataFrame) -> DataFrame:
+    """One size a book, side, price and update: that of the highest ``ordinal``; of the largest size where
+    changes have no ordinal (their order is not known then)."""
+    size = F.max_by("size", "ordinal") if "ordinal" in changes.columns else F.max("size")
+    return changes.groupBy("book", "side", "price", "u").agg(size.alias("size"))
+
+
+def _in_epochs(per: DataFrame, snapshots: DataFrame, end: DataFrame, bin_width: int) -> DataFrame:
+    """``per`` with the snapshot that each change follows (``_epoch``) and the next one (``_stop``, null if none)."""
+    of = _bins(bin_width)
+    starts = snapshots.select("book", "u").union(per.groupBy("book").agg(F.min("u").alias("u"))).distinct()
+    spans = starts.withColumn("_stop", F.lead("u").over(Window.partitionBy("book").orderBy("u"))).join(end, "book")
+    spans = spans.withColumn("_bin", F.explode(F.sequence(of(F.col("u")), of(F.coalesce(F.col("_stop") - 1, F.greatest("_end", "u")))))).withColumnRenamed("u", "_epoch").drop("_end")
+    hit = per.withColumn("_bin", of(F.col("u"))).join(spans, ["book", "_bin"])
+    return hit.filter((F.col("u") >= F.col("_epoch")) & (F.col("_stop").isNull() | (F.col("u") < F.col("_stop")))).drop("_bin")
+
+
+def levels_at(changes: DataFrame, points: DataFrame, bin_width: int = 64, snapshots: DataFrame | None = None) -> DataFrame:
     """The visible levels at each point.
 
-    ``changes``: book, u, side, price, size (the last change of a price at an update counts).
+    ``changes``: book, u, side, price, size and perhaps ordinal (see :func:`last_changes`).
     ``points``: book, u.  A change is valid from its update to the next one of that price;
-    intervals and points meet on (book, bin of u), so no pair outside a bin is formed."""
-    per = changes.groupBy("book", "side", "price", "u").agg(F.last("size").alias("size"))
-    w = Window.partitionBy("book", "side", "price").orderBy("u")
-    spans = per.withColumn("_to", F.lead("u").over(w)).filter("size <> 0")
+    intervals and points meet on (book, bin of u), so no pair outside a bin is formed.
+    ``snapshots``: book, u of updates that replace the whole book; changes at such an update are its levels, and
+    those before it end there."""
+    of = _bins(bin_width)
+    per = last_changes(changes)
     end = changes.groupBy("book").agg(F.max("u").alias("_end")).unionByName(points.groupBy("book").agg(F.max("u").alias("_end"))).groupBy("book").agg(F.max("_end").alias("_end"))
-    spans = spans.join(end, "book").withColumn("_to", F.coalesce("_to", F.col("_end") + 1))
-    of = lambda c: F.floor(c / F.lit(bin_width)).cast("long")
+    if snapshots is None:
+        per = per.withColumns({"_epoch": F.lit(0).cast("long"), "_stop": F.lit(None).cast("long")})
+    else:
+        per = _in_epochs(per, snapshots, end, bin_width)
+    w = Window.partitionBy("book", "side", "price", "_epoch").orderBy("u")
+    spans = per.withColumn("_to", F.lead("u").over(w)).filter("size <> 0")
+    spans = spans.join(end, "book").withColumn("_to", F.coalesce("_to", "_stop", F.col("_end") + 1)).drop("_epoch", "_stop")
     binned = spans.withColumn("_bin", F.explode(F.sequence(of(F.col("u")), of(F.col("_to") - 1)))).withColumnRenamed("u", "_from").drop("_end")
     at = points.select("book", "u").withColumn("_bin", of(F.col("u")))
     hit = at.join(binned, ["book", "_bin"]).filter((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to")))
     return hit.select("book", "u", "side", "price", "size")
 
 
+def update_ids(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``last_update_id`` and ``last_snapshot_update_id`` (null before any snapshot) by book."""
+    last = changes.select("book", "u", F.lit(None).cast("long").alias("s")).union(snapshots.select("book", "u", F.col("u").alias("s")))
+    return last.groupBy("book").agg(F.max("u").alias("last_update_id"), F.max("s").alias("last_snapshot_update_id"))
+
+
 def _is(side: str) -> Column:
     return F.col("side") == side
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import InvalidDefinition
 from .events import KIND_TRADE, extract_field, normalize_symbol, route
 from .extractor import FeatureExtractor
 from .functions import clock
@@ -18,9 +19,9 @@ from .operators import orderbook as ob
 from .operators import sample
 from .operators.snapshot import chunk_bounds, chunk_of, forward_fill
 from .operators.transformers import ParallelTransformer, Pipeline, StandardScaler
-from .plans.features import FeatureSet, WarmupPolicy
+from .plans.features import FeatureDefinition, FeatureSet, WarmupPolicy, compile_definitions, compile_set, long_id
 from .plans.validate import order_violations, problem
-from .sources.tables import bind_events, bind_mixed
+from .sources.tables import bind_events, bind_mixed, exchange_trades, parse_messages
 from .streaming.extractor import stream_features
 
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
@@ -283,17 +284,101 @@ def book_update_ids(spark, sf_dir):
     return _changes(spark, sf_dir).groupBy("book").agg(F.max("u").alias("last_update_id"))
 
 
+def _snapshots(spark, sf_dir) -> DataFrame:
+    return _changes(spark, sf_dir).filter("u % 10 = 3").select("book", "u")
+
+
+def book_after_snapshots(spark, sf_dir):
+    """Best levels of books that every update with a number ending in 3 replaces as a whole."""
+    c = _changes(spark, sf_dir)
+    levels = ob.levels_at(c, c.select("book", "u"), bin_width=256, snapshots=_snapshots(spark, sf_dir))
+    return ob.best_levels(levels).select("book", "u", *[_d(c) for c in ("bid_price", "bid_size", "ask_price", "ask_size")])
+
+
+def book_snapshot_ids(spark, sf_dir):
+    return ob.update_ids(_changes(spark, sf_dir), _snapshots(spark, sf_dir))
+
+
 def book_sync_state_machine(spark, sf_dir):
-    """Each user's events as updates of one book: numbered 1, 2, ... with a gap at every 50th and a snapshot at every 20th."""
+    """Each user's events as updates of one book, numbered with gaps, repeats, negative sizes, snapshots too old or cut off, and more
+    updates than the buffer holds."""
     from pyspark.sql.window import Window
 
     c = _changes(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("book").orderBy("u"))
-    rows = c.withColumn("n", n.cast("long")).select(
-        "book", F.col("u").alias("seq"), F.when(F.col("n") % 20 == 1, "snapshot").otherwise("delta").alias("type"),
-        (F.col("n") + F.floor(F.col("n") / 50)).cast("long").alias("update_id"), F.array(F.struct("side", "price", "size")).alias("changes"),
+    n, k = F.col("n"), lambda m: F.col("n") % m
+    back = F.when((k(11) == 6) | (k(28) == 23), 3).when(k(28) == 9, 30).otherwise(0)
+    size = F.when(k(13) == 8, -1 - F.col("size")).otherwise(F.col("size")).cast("decimal(18,8)")
+    rows = c.withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy("u")).cast("long")).select(
+        "book", F.col("u").alias("seq"), F.when(k(14).isin(3, 9), "snapshot").otherwise("delta").alias("type"),
+        (n + F.floor(n / 5) - back).cast("long").alias("update_id"), F.array(F.struct("side", "price", size.alias("size"))).alias("changes"),
     )
-    return ob.synchronize(rows, ob.Policy.CONTIGUOUS, 30).select("book", "seq", "outcome", "state", "last_update_id", _d("best_bid"), _d("best_ask"))
+    return ob.synchronize(rows, ob.Policy.CONTIGUOUS, 8).select("book", "seq", "outcome", "state", "last_update_id", _d("best_bid"), _d("best_ask"))
+
+
+# -- definitions, calls and sources ------------------------------------------
+
+
+def feature_ids(spark, sf_dir):
+    """Names, places and long ids of a compiled set."""
+    fs = FeatureSet().time_since_first_event_of_day("UTC+5:30").sma("BTC", [20, 5]).ema("Eth", [10], source="trade_volume", warmup=FIRST).cvd("btc", [7])
+    fs.sma_timed("btc", "1m", ["5m"], source="volume").obv_timed("ETH", "1s", ["1s", "10s"]).trade_count_timed("btc", "500ms", "2s", warmup=FIRST).day_of_week()
+    cells = compile_set(fs).cells
+    return spark.createDataFrame([(i, d.name, long_id(d)) for i, d in enumerate(cells)], "place long, name string, long_id string")
+
+
+def definition_rules(spark, sf_dir):
+    """Which definitions compile; index of the first bad one."""
+    sma = lambda n: FeatureDefinition("sma", "a", "price", n, warmup=FULL)
+    timed = lambda a, w: FeatureDefinition("sma_timed", "a", "price", w, a, warmup=FULL)
+    cases = {
+        "good": [sma(5), sma(7)], "empty window": [sma(5), sma(0)], "no source": [FeatureDefinition("ema", "a", None, 5, warmup=FULL)],
+        "source of a trade feature": [FeatureDefinition("cvd", "a", "price", 5, warmup=FULL)], "twice": [sma(5), sma(6), sma(5)], "sixteen": [sma(n) for n in range(1, 17)],
+        "seventeen": [sma(n) for n in range(1, 18)], "no aggregation": [timed(0, 10)], "window below aggregation": [timed(10, 5)], "not a multiple": [timed(10, 25)],
+        "odd offset": [FeatureDefinition("time_since_first_event_of_day", offset=30_000)], "far offset": [FeatureDefinition("time_since_first_event_of_day", offset=15 * HOUR)],
+        "unknown": [FeatureDefinition("rsi", "a", "price", 5, warmup=FULL)],
+    }
+    rows = []
+    for name, defs in cases.items():
+        try:
+            compile_definitions(defs)
+            rows.append((name, None))
+        except InvalidDefinition as e:
+            rows.append((name, e.index))
+    return spark.createDataFrame(rows, "name string, bad_index long")
+
+
+def feature_invocations(spark, sf_dir):
+    fs = FeatureSet().sma("click", [3, 5], source="trade_price").ema("view", [3]).cvd("click", [4]).trade_count_timed("error", "1m", "5m").day_of_week()
+    return FeatureExtractor(fs).invocations(bind_mixed(_raw(spark, sf_dir)))
+
+
+def features_float32(spark, sf_dir):
+    ex = FeatureExtractor(FeatureSet().sma("click", [4], source="trade_price"), output_dtype="float32")
+    return ex.transform(_trades(spark, sf_dir), check=False).select("seq", F.round(F.col(f"`{ex.feature_names()[0]}`").cast("double"), 3).alias("sma"))
+
+
+def feature_values(spark, sf_dir):
+    """The vector after all events, and which cells are ready."""
+    ex = FeatureExtractor(FeatureSet().sma("click", [4], source="trade_price").sma("view", [1_000_000], source="trade_price").day_of_week())
+    out = ex.values(_trades(spark, sf_dir))
+    return out.select(*[x for i, n in enumerate(ex.feature_names()) for x in (_round(F.col(f"`{n}`"), f"f{i}"), F.col(f"`{n}`").isNotNull().alias(f"ready{i}"))])
+
+
+def exchange_order(spark, sf_dir):
+    """Trades of many symbols at one time stamp: numbers follow time, trade id and symbol."""
+    raw = _raw(spark, sf_dir).select(F.date_trunc("hour", "ts").alias("trade_time"), F.col("event_type").alias("symbol"), (F.col("event_id") % 7).alias("trade_id")).distinct()
+    trades = raw.select("*", F.lit(1.0).alias("price"), F.lit(1.0).alias("quantity"), F.lit(True).alias("buyer_market_maker"))
+    return exchange_trades(trades).select("seq", "symbol", "ts", "side")
+
+
+def live_trade_messages(spark, sf_dir):
+    """JSON messages of a feed, among others that are no trades."""
+    t = _trades(spark, sf_dir)
+    fields = {"e": F.when(F.col("seq") % 9 == 0, "depth").otherwise("trade"), "s": F.upper("symbol"), "t": F.col("seq"), "p": F.col("price").cast("string"), "q": F.col("volume").cast("string"),
+              "T": F.col("ts"), "m": F.col("side") == 1}
+    lines = t.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items() if k != "T"])).alias("a"), F.col("ts"))
+    lines = lines.select(F.concat(F.expr("substring(a, 1, length(a) - 1)"), F.lit(',"T":'), F.col("ts").cast("string"), F.lit("}")).alias("value"))
+    return parse_messages(lines.union(spark.sql("SELECT 'not json'"))).select("seq", "symbol", "ts", "price", "volume", "side")
 
 
 # -- streaming ---------------------------------------------------------------
@@ -311,11 +396,24 @@ def streaming_features(spark, sf_dir):
     return out.select("seq", *[_round(F.col(f"`{n}`"), f"f{i}") for i, n in enumerate(FeatureExtractor(fs).feature_names())])
 
 
+def streaming_late_rejected(spark, sf_dir):
+    """Events in the order of user, then event: what is earlier than what was seen is left out."""
+    import uuid
+
+    from .streaming.run import stream_to_table
+
+    raw = _raw(spark, sf_dir)
+    ev = bind_events(raw.withColumn("event_id", F.col("user_id") * F.lit(1_000_000_000) + F.col("event_id")))
+    out = stream_to_table(spark, ev, lambda s: stream_features(s, FeatureSet().day_of_week(), late="reject"), f"stream_{uuid.uuid4().hex}")
+    return out.select("seq", F.col("`clock:day_of_week`").alias("day_of_week"))
+
+
 _NAMES = """event_projection event_field_extract symbol_normalize event_route_filter sma_price_first_value sma_full_window sma_multi_window sma_volume_source
 ema_full_window ema_first_value cvd_windows cvd_unclassified_ignored sma_timed obv_timed trade_count_timed timed_observe_other_symbols timed_empty_window
 day_of_week time_since_first_event_utc time_since_first_event_offset snapshot_ffill compute_features_wide transform_mixed_kinds validate_order validate_values
 standard_scaler parallel_transformer transform_pipeline book_best_levels book_mid_spread_bps book_top_n book_level book_depth_until_price book_depth_until_size
-book_volume_between book_weighted_mid book_microprice book_imbalance book_update_ids book_sync_state_machine streaming_features""".split()
+book_volume_between book_weighted_mid book_microprice book_imbalance book_update_ids book_sync_state_machine book_after_snapshots book_snapshot_ids
+feature_ids definition_rules feature_invocations features_float32 feature_values exchange_order live_trade_messages streaming_features streaming_late_rejected""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
 
 # -- DuckDB ------------------------------------------------------------------
@@ -463,6 +561,64 @@ def _r(e, name):
     return f"{_R.format(e)} AS {name}"
 
 
+def _streaming_sql():
+    ctes, sels, joins = _timed_sql([("cnt", "count", "click", HOUR, 6 * HOUR, True)])
+    w, a = "(PARTITION BY symbol ORDER BY seq ROWS 4 PRECEDING)", 2 / 11
+    ctes += [
+        f"ti AS (SELECT ev.seq, {', '.join(sels)} FROM ev {' '.join(joins)})",
+        f"sm AS (SELECT seq, CASE WHEN symbol = 'click' AND count(*) OVER {w} >= 5 THEN avg(price) OVER {w} END AS s5 FROM ev)",
+        "o AS (SELECT seq, price, row_number() OVER (ORDER BY seq) AS r FROM ev WHERE symbol = 'view')",
+        f"x AS (SELECT seq, r, price AS e FROM o WHERE r = 1 UNION ALL SELECT o.seq, o.r, o.price * {a!r} + x.e * {1 - a!r} FROM x JOIN o ON o.r = x.r + 1)",
+        "j AS (SELECT ev.seq, ev.ts, s5, cnt, CASE WHEN r >= 10 THEN e END AS e10 FROM ev JOIN sm USING (seq) JOIN ti USING (seq) LEFT JOIN x USING (seq))",
+    ]
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT seq, {_DOW} AS f0, {_r(_ffill('s5'), 'f1')}, cnt AS f2, {_r(_ffill('e10'), 'f3')} FROM j"
+
+
+_SYNC = r"""
+WITH RECURSIVE c AS (
+  SELECT user_id::VARCHAR AS book, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN k % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
+         (CASE WHEN k % 2 = 0 THEN 100 - k % 10 ELSE 101 + k % 10 END)::DOUBLE AS price, (CASE WHEN event_id % 7 = 0 THEN 0 ELSE floor(value) + 1 END)::DOUBLE AS size
+  FROM (SELECT *, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)
+), e AS (
+  SELECT book, seq, n, CASE WHEN n % 14 IN (3, 9) THEN 'snapshot' ELSE 'delta' END AS type,
+         n + n // 5 - CASE WHEN n % 11 = 6 OR n % 28 = 23 THEN 3 WHEN n % 28 = 9 THEN 30 ELSE 0 END AS id,
+         {'id': 0::BIGINT, 'side': side, 'price': price, 'size': CASE WHEN n % 13 = 8 THEN -1 - size ELSE size END} AS ch
+  FROM c
+), s(book, n, seq, outcome, state, lu, ls, hist, lv) AS (
+  SELECT DISTINCT book, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'awaiting_snapshot', NULL::BIGINT, NULL::BIGINT,
+         []::STRUCT(id BIGINT, side VARCHAR, price DOUBLE, size DOUBLE)[], []::STRUCT(id BIGINT, side VARCHAR, price DOUBLE, size DOUBLE)[] FROM e
+  UNION ALL
+  SELECT book, n, seq, outcome,
+         CASE WHEN outcome = 'buffer_capacity_exceeded' OR (outcome = 'sequence_gap' AND state = 'live') THEN 'require_resync'
+              WHEN snap AND outcome IN ('applied', 'resynchronized') THEN 'live' ELSE state END,
+         CASE WHEN outcome NOT IN ('applied', 'resynchronized') THEN lu WHEN snap THEN coalesce(newer[-1].id, id) ELSE id END,
+         CASE WHEN snap AND outcome IN ('applied', 'resynchronized') THEN id ELSE ls END,
+         CASE WHEN snap AND outcome IN ('applied', 'resynchronized') THEN newer WHEN NOT snap AND outcome IN ('applied', 'buffered', 'sequence_gap') THEN list_append(hist, now) ELSE hist END,
+         CASE WHEN outcome NOT IN ('applied', 'resynchronized') THEN lv ELSE
+           list_filter(list_concat(CASE WHEN snap THEN [now] ELSE list_append(lv, now) END, CASE WHEN snap THEN newer ELSE [] END), lambda x, i: x.size <> 0 AND
+             len(list_filter(list_concat(CASE WHEN snap THEN [now] ELSE list_append(lv, now) END, CASE WHEN snap THEN newer ELSE [] END)[i + 1:], lambda y: y.side = x.side AND y.price = x.price)) = 0) END
+  FROM (
+    SELECT *, CASE
+        WHEN now.size < 0 OR now.price < 0 THEN 'invalid_update'
+        WHEN snap AND ls IS NOT NULL AND id <= ls THEN 'stale_snapshot'
+        WHEN snap AND len(list_filter(newer, lambda x, i: x.id <> id + i)) > 0 THEN 'snapshot_history_gap'
+        WHEN snap THEN CASE WHEN state = 'require_resync' THEN 'resynchronized' ELSE 'applied' END
+        WHEN id <= top THEN 'ignored_stale'
+        WHEN id <> top + 1 THEN CASE WHEN len(hist) >= 8 THEN 'buffer_capacity_exceeded' ELSE 'sequence_gap' END
+        WHEN len(hist) >= 8 THEN 'buffer_capacity_exceeded'
+        WHEN state <> 'live' THEN 'buffered' ELSE 'applied' END AS outcome
+    FROM (
+      SELECT s.book, e.n, e.seq, s.state, s.lu, s.ls, s.hist, s.lv, e.id, e.type = 'snapshot' AS snap, struct_pack(id := e.id, side := ch.side, price := ch.price, size := ch.size) AS now,
+             coalesce(hist[-1].id, CASE WHEN s.state = 'live' THEN s.lu END) AS top, list_filter(s.hist, lambda x: x.id > e.id) AS newer
+      FROM s JOIN e ON e.book = s.book AND e.n = s.n + 1
+    )
+  )
+)
+SELECT book, seq, outcome, state, lu AS last_update_id, list_max(list_transform(list_filter(lv, lambda x: x.side = 'bid'), lambda x: x.price)) AS best_bid,
+       list_min(list_transform(list_filter(lv, lambda x: x.side = 'ask'), lambda x: x.price)) AS best_ask
+FROM s WHERE n > 0
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "event_projection": f"WITH {_EV} SELECT seq, 2 AS kind, symbol, ts, price, volume, side FROM ev",
     "event_field_extract": f"WITH {_MIX} SELECT seq, CASE WHEN kind = 0 THEN price END AS price, CASE WHEN kind = 1 THEN volume END AS volume, CASE WHEN kind = 2 THEN price END AS trade_price, CASE WHEN kind = 2 THEN volume END AS trade_volume FROM mx",
@@ -506,4 +662,40 @@ ORACLE_SQL: dict[str, str] = {
     "book_volume_between": _book("SELECT book, u, coalesce(sum(size) FILTER (side = 'ask' AND price >= 102 AND price < 106), 0)::DOUBLE AS volume FROM lv GROUP BY ALL"),
     "book_imbalance": _book(f"SELECT book, u, {_r('(b - a) / nullif(b + a, 0)', 'imbalance')} FROM (SELECT book, u, coalesce(sum(size) FILTER (side = 'bid' AND rank <= 3), 0) AS b, coalesce(sum(size) FILTER (side = 'ask' AND rank <= 3), 0) AS a FROM rk GROUP BY ALL)"),
     "book_update_ids": "SELECT user_id::VARCHAR AS book, max(event_id) AS last_update_id FROM events GROUP BY 1",
+    "book_sync_state_machine": _SYNC,
+    "book_after_snapshots": """WITH ch AS (
+  SELECT user_id::VARCHAR AS book, event_id AS u, CASE WHEN k % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
+         (CASE WHEN k % 2 = 0 THEN 100 - k % 10 ELSE 101 + k % 10 END)::DOUBLE AS price, (CASE WHEN event_id % 7 = 0 THEN 0 ELSE floor(value) + 1 END)::DOUBLE AS size
+  FROM (SELECT *, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)
+), ep AS (
+  SELECT *, count(*) FILTER (u % 10 = 3) OVER (PARTITION BY book ORDER BY u) AS ep FROM ch
+), pt AS (
+  -- every update sees, of its own epoch, the last change of each price so far
+  SELECT p.book, p.u, c.side, c.price, arg_max(c.size, c.u) AS size FROM ep p JOIN ep c ON c.book = p.book AND c.ep = p.ep AND c.u <= p.u GROUP BY ALL
+)
+SELECT book, u, max(price) FILTER (side = 'bid') AS bid_price, arg_max(size, price) FILTER (side = 'bid') AS bid_size,
+       min(price) FILTER (side = 'ask') AS ask_price, arg_min(size, price) FILTER (side = 'ask') AS ask_size FROM pt WHERE size <> 0 GROUP BY ALL""",
+    "book_snapshot_ids": "SELECT user_id::VARCHAR AS book, max(event_id) AS last_update_id, max(event_id) FILTER (event_id % 10 = 3) AS last_snapshot_update_id FROM events GROUP BY 1",
+    "feature_ids": """SELECT place::BIGINT AS place, name, long_id FROM (VALUES
+(0, 'clock:day_of_week', 'day_of_week'),
+(1, 'clock:time_since_first_event_of_day:19800000ms', 'time_since_first_event_of_day:utc_offset=19800000ms'),
+(2, 'btc:trade:cvd:7', 'cvd:symbol=3:btc:source=event.trade:window=7:warmup=full_window'),
+(3, 'btc:price:sma:20', 'sma:symbol=3:btc:source=field.price:window=20:warmup=full_window'),
+(4, 'btc:price:sma:5', 'sma:symbol=3:btc:source=field.price:window=5:warmup=full_window'),
+(5, 'btc:volume:sma_timed:60000ms:300000ms', 'sma_timed:symbol=3:btc:source=field.volume:aggregation=60000ms:window=300000ms:warmup=full_window'),
+(6, 'btc:trade:count_timed:500ms:2000ms', 'count_timed:symbol=3:btc:source=event.trade:aggregation=500ms:window=2000ms:warmup=first_value'),
+(7, 'eth:trade_volume:ema:10', 'ema:symbol=3:eth:source=field.trade_volume:window=10:warmup=first_value'),
+(8, 'eth:trade:obv_timed:1000ms:1000ms', 'obv_timed:symbol=3:eth:source=event.trade:aggregation=1000ms:window=1000ms:warmup=full_window'),
+(9, 'eth:trade:obv_timed:1000ms:10000ms', 'obv_timed:symbol=3:eth:source=event.trade:aggregation=1000ms:window=10000ms:warmup=full_window')) t(place, name, long_id)""",
+    "definition_rules": """SELECT name, bad_index::BIGINT AS bad_index FROM (VALUES ('good', NULL), ('empty window', 1), ('no source', 0), ('source of a trade feature', 0), ('twice', 2), ('sixteen', NULL),
+('seventeen', 16), ('no aggregation', 0), ('window below aggregation', 0), ('not a multiple', 0), ('odd offset', 0), ('far offset', 0), ('unknown', 0)) t(name, bad_index)""",
+    "feature_invocations": f"WITH {_MIX} SELECT seq, (2 + (symbol = 'click' AND kind = 2)::INT + (symbol = 'view' AND kind = 0)::INT + (symbol = 'click' AND kind = 2 AND side IS NOT NULL)::INT)::BIGINT AS updated FROM mx",
+    "features_float32": f"WITH {_EV}, s AS (SELECT seq, CASE WHEN symbol = 'click' AND count(*) OVER w >= 4 THEN avg(price) OVER w END AS v FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS 3 PRECEDING)) SELECT seq, round({_ffill('v')}::FLOAT::DOUBLE, 3) AS sma FROM s",
+    "feature_values": f"""WITH {_EV}, t AS (SELECT *, max(ts) OVER () AS now FROM ev), l AS (SELECT price FROM ev WHERE symbol = 'click' ORDER BY seq DESC LIMIT 4)
+SELECT (SELECT {_DOW.replace('ts', 'max(ts)')} FROM ev) AS f0, true AS ready0, round((SELECT avg(price) FROM l), 6) + 0.0 AS f1, true AS ready1, NULL::DOUBLE AS f2, false AS ready2""",
+    "exchange_order": """WITH t AS (SELECT DISTINCT epoch_us(date_trunc('hour', ts)) // 1000 AS ts, event_type AS symbol, event_id % 7 AS trade_id FROM events)
+SELECT ts * 1000000 + row_number() OVER (PARTITION BY ts ORDER BY trade_id, symbol) AS seq, symbol, ts, 1 AS side FROM t""",
+    "live_trade_messages": f"WITH {_EV} SELECT ts * 1000000 + seq % 1000000 AS seq, symbol, ts, price, volume, CASE WHEN side = 1 THEN 1 ELSE 0 END AS side FROM ev WHERE seq % 9 <> 0",
+    "streaming_features": _streaming_sql(),
+    "streaming_late_rejected": f"WITH e AS (SELECT user_id * 1000000000 + event_id AS seq, epoch_us(ts) // 1000 AS ts FROM events), p AS (SELECT *, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e) SELECT seq, {_DOW} AS day_of_week FROM p WHERE top IS NULL OR ts >= top",
 }

@@ -29,15 +29,42 @@ def read_exchange_csv(spark: SparkSession, path: str) -> DataFrame:
 def exchange_trades(df: DataFrame) -> DataFrame:
     side = F.when(F.col("buyer_market_maker"), SIDE_SELL).otherwise(SIDE_BUY)
     out = df.select(F.col("trade_id"), F.lit(KIND_TRADE).alias("kind"), "symbol", to_millis("trade_time").alias("ts"), "price", F.col("quantity").alias("volume"), side.alias("side"))
-    return as_events(out.withColumn("seq", global_order(out, ["ts", "trade_id"])))
+    return as_events(out.withColumn("seq", global_order(out, ["ts", "trade_id", "symbol"])))
+
+
+#: Rows of one time stamp that an order can tell apart.
+TIES = 1_000_000
 
 
 def global_order(df: DataFrame, by: list[str]):
     """A unique, increasing number along ``by``: rank within the millisecond above the time itself.
 
-    Order needs no global sort: time is the high part, and ties are ranked per time stamp."""
+    Order needs no global sort: time is the high part, and ties are ranked per time stamp.  More
+    than ``TIES`` rows of one time stamp raise an error, for numbers would meet those of the next."""
     w = Window.partitionBy(by[0]).orderBy(*by[1:])
-    return F.col(by[0]) * F.lit(1_000_000) + F.row_number().over(w)
+    rank = F.row_number().over(w)
+    checked = F.when(rank < TIES, rank).otherwise(F.raise_error(F.lit(f"over {TIES - 1} rows of one time stamp")).cast("int"))
+    return F.col(by[0]) * F.lit(TIES) + checked
+
+
+def live_messages(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of text lines from a socket: the near end of a bridge to an exchange's feed."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Trade events of JSON messages, batch or stream; other messages and broken ones are left out.
+
+    Fields: ``e`` the kind (trade), ``s`` symbol, ``t`` trade id, ``p`` price, ``q`` quantity, ``T`` trade time in ms, ``m`` whether
+    the buyer is the maker.  ``seq`` is the trade's time above its id's last digits, so it follows the exchange's
+    order within a symbol."""
+    field = lambda k: F.get_json_object(F.col(column), f"$.{k}")  # noqa: E731  names differ by case only: T and t
+    got = lines.filter(field("e") == "trade").select(
+        (field("T").cast("long") * F.lit(TIES) + F.pmod(field("t").cast("long"), F.lit(TIES))).alias("seq"), F.lit(KIND_TRADE).alias("kind"), field("s").alias("symbol"),
+        field("T").cast("long").alias("ts"), field("p").cast("double").alias("price"), field("q").cast("double").alias("volume"),
+        F.when(field("m") == "true", SIDE_SELL).otherwise(SIDE_BUY).alias("side"),
+    )
+    return as_events(got)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

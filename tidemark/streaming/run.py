@@ -7,19 +7,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder that the driver and executors share: the session's checkpoint folder, a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A folder that the driver and executors share: the session's checkpoint folder.  A local session without one gets a
+    temporary folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("streams need a folder that all executors share: set spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{name}"
 
 
 def stream_to_table(spark: SparkSession, events: DataFrame, plan: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """``events`` written as files, read as a stream through ``plan`` (availableNow) into Parquet, and read back."""
+    """``events`` written as files, read as a stream through ``plan`` (availableNow) into Parquet, and read back.
+
+    A second call with the same name adds its events to the files and goes on from the first one's state."""
     at = work_dir(spark, name)
-    events.write.parquet(f"{at}/in")
+    events.write.mode("append").parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
     out = plan(stream)
     query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
