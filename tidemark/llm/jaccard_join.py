@@ -140,8 +140,7 @@ def _gather(words: int):
         for big in batches:
             for batch in steps(big):
                 sets = [s.tobytes() for s in shingle_sets(batch, words)]
-                names = ["block", "id", "label", "look"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sets, pa.binary())], [*names, "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "s"])
 
     return f
 
@@ -288,12 +287,10 @@ def _verify(percent: int):
     return f
 
 
-def _linked(docs: DataFrame, where: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(sets: DataFrame, where: DataFrame, percent: int) -> DataFrame:
     """``u, v``: verified links (or paths of these) within blocks.  ``where``: id, blocks, label, look."""
-    # dealt by id at every size: a broadcast would hold some rows of every near copy
-    rows = docs.join(where.hint("merge"), "id").select(F.explode("blocks").alias("block"), "id", "label", "look", "text")
-    sets = rows.mapInArrow(_gather(words), "block string, id long, label long, look boolean, s binary")
-    return table(sets.groupBy("block").applyInArrow(_verify(percent), "u long, v long"))
+    rows = sets.join(where, "id").select(F.explode("blocks").alias("block"), "id", "label", "look", "s")
+    return table(rows.groupBy("block").applyInArrow(_verify(percent), "u long, v long"))
 
 
 def _parts(docs: str, shingles: str):
@@ -355,9 +352,11 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         mine = F.when(F.col("id") == F.col("c"), every).otherwise(F.array("part"))
         blocks = F.when(F.col("parts") == 1, F.array(F.concat(F.lit("p"), F.pmod(F.xxhash64("c"), F.lit(packs))))).otherwise(F.transform(mine, lambda j: F.concat_ws("-", "c", j)))
         where = placed.select("id", blocks.alias("blocks"), F.col("id").alias("label"), F.lit(False).alias("look"))
-        linked = _linked(docs, where, words, percent)
+        # whole texts are dealt once, by id at every size; later rounds read the members' sets
+        sets = table(docs.join(placed.select("id").hint("merge"), "id").mapInArrow(_gather(words), "id long, s binary"))
+        linked = _linked(sets, where, percent)
         if (split or 1) > 1:
-            linked = linked.union(_across(docs, placed.filter("parts > 1"), linked, words, percent))
+            linked = linked.union(_across(sets, placed.filter("parts > 1"), linked, percent))
         found = components(linked.union(member))
         out = all_sets.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
         out = out.select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -365,7 +364,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return out
 
 
-def _across(docs: DataFrame, placed: DataFrame, linked: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(sets: DataFrame, placed: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Links between the parts of large clusters: what is outside a cluster's largest component so far meets every part."""
     so_far = components(linked)
     now = table(placed.join(so_far, "id", "left").select("id", "c", "n", "parts", "part", F.coalesce("component", "id").alias("label")))
@@ -381,7 +380,7 @@ def _across(docs: DataFrame, placed: DataFrame, linked: DataFrame, words: int, p
     as_rest = F.transform(j, lambda y: F.concat_ws("-", "c", "mine", y))
     own = now.select("id", as_part.alias("blocks"), "label", F.lit(False).alias("look"))
     looking = now.filter("rest").select("id", as_rest.alias("blocks"), "label", F.lit(True).alias("look"))
-    return _linked(docs, own.union(looking), words, percent)
+    return _linked(sets, own.union(looking), percent)
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
