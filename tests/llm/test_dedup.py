@@ -171,3 +171,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 90, 90: 90, 95: 90}
+
+
+def test_join_counted_is_a_join(spark):
+    """Salted and broadcast keys give what a plain join gives."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.scratch import join_counted
+
+    left = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 40).cast("long").alias("k"), F.col("id").alias("v"), F.lit("a").alias("s"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 3 = 1").select("k", (F.col("k") * 2).alias("w"), "n", F.lit("b").alias("t"))
+    want = sorted(tuple(r) for r in left.join(right.drop("n"), "k").select("k", "v", "s", "w", "t").collect())
+    for most in (2, 10, 1000):
+        assert sorted(tuple(r) for r in join_counted(left, right, ["k"], "n", most).select("k", "v", "s", "w", "t").collect()) == want
+    assert join_counted(left, right.limit(0), ["k"], "n").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, words):
+    """Columns named like inner ones pass through the stages."""
+    p = " ".join(words(30, 1))
+    names = ["id", "th", "spans", "gone", "_id", "_th", "_spans", "_gone", "block", "label"]
+    rows = [(1, p, len(p), *[f"{c}1" for c in names]), (2, p, len(p), *[f"{c}2" for c in names]), (3, "x " + p, len(p) + 2, *[f"{c}3" for c in names])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    cut = {r["doc_id"]: r for r in sd.cut_repeats(df).collect()}
+    assert [cut[i]["text"] for i in (1, 2, 3)] == [p, "", "x"] and cut[3]["_spans"] == "_spans3" and cut[2]["id"] == "id2"
+    assert [tuple(r) for r in jj.keep_one(df).collect()] == [rows[0]]
+    assert sd.cut_repeats(df).columns == df.columns and jj.keep_one(df).columns == df.columns
