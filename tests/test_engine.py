@@ -239,7 +239,7 @@ def test_many_chunks(spark):
     got = {r["seq"]: r["c"] for r in spark.range(60).select(F.col("id").alias("seq")).select("seq", snapshot.chunk_of(bounds).alias("c")).collect()}
     assert got == {i: sum(b <= i for b in bounds) for i in range(60)}
     rows, fs = stream(7, 300), features()
-    old, snapshot.CHUNK_ROWS = snapshot.CHUNK_ROWS, 4
+    old, snapshot.CHUNK_ROWS = snapshot.CHUNK_ROWS, 25
     try:
         ex = FeatureExtractor(fs)
         got = {r["seq"]: r for r in ex.transform(spark.createDataFrame(rows, SCHEMA)).collect()}
