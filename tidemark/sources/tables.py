@@ -8,22 +8,27 @@ from pyspark.sql.window import Window
 
 from ..events import KIND_TRADE, SIDE_BUY, SIDE_SELL, as_events, to_millis
 
-TRADES_CSV = "symbol string, ts long, price double, volume double"
-EXCHANGE_CSV = "time timestamp, trade_time timestamp, symbol string, trade_id long, price double, quantity double, buyer_market_maker boolean"
+TRADES_CSV = {"symbol": "string", "ts": "long", "price": "double", "volume": "double"}
+EXCHANGE_CSV = {"symbol": "string", "trade_id": "long", "price": "double", "quantity": "double", "trade_time": "string", "buyer_market_maker": "boolean"}
+
+
+def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Columns by their names in the header, whatever their order."""
+    df = spark.read.csv(path, header=True)
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
 def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
     """Trade rows in file order; ``seq`` is the row's place in its file's order."""
-    df = spark.read.csv(path, header=True, schema=TRADES_CSV)
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    return _csv(spark, path, TRADES_CSV).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_exchange_csv(spark: SparkSession, path: str) -> DataFrame:
     """Exchange trades in any order; ``seq`` follows (trade time, trade id) per symbol file.
 
-    A buyer who is the maker was hit by a seller."""
-    df = spark.read.csv(path, header=True, schema=EXCHANGE_CSV)
-    return exchange_trades(df)
+    Times carry their offset (``2026-06-16 09:32:28.834000 +00:00``).  A buyer who is the maker was hit by a seller."""
+    df = _csv(spark, path, EXCHANGE_CSV)
+    return exchange_trades(df.withColumn("trade_time", F.regexp_replace("trade_time", " ([+-])", "$1").cast("timestamp")))
 
 
 def exchange_trades(df: DataFrame) -> DataFrame:
