@@ -137,3 +137,35 @@ def test_last_change_and_snapshots_in_the_relation(spark):
         got.setdefault(r["u"], set()).add((r["side"], r["price"], r["size"]))
     assert got == {u: v for u, v in want.items() if v}
     assert [tuple(r) for r in ob.update_ids(ch, sn).collect()] == [("x", 89, 80)]
+
+
+def test_update_ids_far_apart(spark):
+    """Resting levels, points and snapshots whose update ids lie any distance apart."""
+    import random
+
+    rng, rows, snaps, points, want = random.Random(5), [], [], [], {}
+    for name, step in (("near", 1), ("far", 3_000_000_000)):
+        b = OrderBook(Policy.MONOTONIC, 10**9)
+        b.apply_snapshot(0, [], [])
+        for i in range(1, 301):
+            u, side = i * step, rng.choice([BID, ASK])
+            c = (side, D(rng.randint(90, 99) if side == BID else rng.randint(100, 109)), D(rng.randint(0, 3)))
+            if i % 110 == 0:
+                b.apply_snapshot(u, *[[c[1:]] if side == s else [] for s in (BID, ASK)])
+                snaps.append((name, u))
+            else:
+                b.apply_delta(u, [c])
+            rows.append((name, u, *c))
+            if i % 3:
+                points.append((name, u))
+                want[name, u] = {(s, p, z) for s, levels in ((BID, b.bids), (ASK, b.asks)) for p, z in levels.items()}
+    points.append(("far", 10**13))
+    want["far", 10**13] = {(s, p, z) for s, levels in ((BID, b.bids), (ASK, b.asks)) for p, z in levels.items()}
+    ch = spark.createDataFrame(rows, "book string, u long, side string, price decimal(18,8), size decimal(18,8)")
+    lv = ob.levels_at(ch, spark.createDataFrame(points, "book string, u long"), 16, spark.createDataFrame(snaps, "book string, u long"))
+    got = {}
+    for r in lv.collect():
+        got.setdefault((r["book"], r["u"]), []).append((r["side"], r["price"], r["size"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+    plain = ob.levels_at(ch, spark.createDataFrame(points, "book string, u long"), 16)
+    assert {r["u"] for r in ob.best_levels(plain).filter("book = 'far'").collect()} == {u for n, u in want if n == "far"}

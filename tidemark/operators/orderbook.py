@@ -264,45 +264,74 @@ def _bins(bin_width: int):
     return lambda c: F.floor(c / F.lit(bin_width)).cast("long")
 
 
-def last_changes(changes: DataFrame) -> DataFrame:
+def last_changes(changes: DataFrame, *also: str) -> DataFrame:
     """One size a book, side, price and update: that of the highest ``ordinal``; of the largest size where
-    changes have no ordinal (their order is not known then)."""
+    changes have no ordinal (their order is not known then).  ``also``: columns that follow from book and update."""
     size = F.max_by("size", "ordinal") if "ordinal" in changes.columns else F.max("size")
-    return changes.groupBy("book", "side", "price", "u").agg(size.alias("size"))
+    return changes.groupBy("book", *also, "side", "price", "u").agg(size.alias("size"))
 
 
-def _in_epochs(per: DataFrame, snapshots: DataFrame, end: DataFrame, bin_width: int) -> DataFrame:
-    """``per`` with the snapshot that each change follows (``_epoch``) and the next one (``_stop``, null if none)."""
+#: Points of a book that meet the same levels at least; a level that rests long is one row for so many points.
+BIN_POINTS = 64
+
+
+def _places(changes: DataFrame, points: DataFrame, bin_width: int, snapshots: DataFrame | None) -> DataFrame:
+    """By book and slot of update ids (``_slot``, those in use only): how many times ``BIN_POINTS`` points lie before it (``_bin``), the
+    book's last such number (``_last``), and the snapshots around it: in the slot, the last one before and the first one after."""
     of = _bins(bin_width)
-    starts = snapshots.select("book", "u").union(per.groupBy("book").agg(F.min("u").alias("u"))).distinct()
-    spans = starts.withColumn("_stop", F.lead("u").over(Window.partitionBy("book").orderBy("u"))).join(end, "book")
-    spans = spans.withColumn("_bin", F.explode(F.sequence(of(F.col("u")), of(F.coalesce(F.col("_stop") - 1, F.greatest("_end", "u")))))).withColumnRenamed("u", "_epoch").drop("_end")
-    hit = per.withColumn("_bin", of(F.col("u"))).join(spans, ["book", "_bin"])
-    return hit.filter((F.col("u") >= F.col("_epoch")) & (F.col("_stop").isNull() | (F.col("u") < F.col("_stop")))).drop("_bin")
+    none = F.lit(None).cast("long")
+    seen = points.select("book", "u", F.lit(1).alias("n"), none.alias("s")).unionByName(changes.select("book", "u", F.lit(0).alias("n"), none.alias("s")))
+    if snapshots is not None:
+        seen = seen.unionByName(snapshots.select("book", "u", F.lit(0).alias("n"), F.col("u").cast("long").alias("s")))
+    snaps = [F.collect_set("s").alias("_snaps")] if snapshots is not None else []
+    slots = seen.groupBy("book", of(F.col("u")).alias("_slot")).agg(F.sum("n").alias("n"), *snaps)
+    book = Window.partitionBy("book").orderBy("_slot")
+    before, after = book.rowsBetween(Window.unboundedPreceding, -1), book.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_bin", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(BIN_POINTS)))
+    if snapshots is not None:
+        slots = slots.withColumn("_prev", F.max(F.array_max("_snaps")).over(before))
+        slots = slots.withColumn("_next", F.last(F.when(F.size("_snaps") > 0, F.struct(F.array_min("_snaps").alias("u"), F.col("_bin").alias("bin"))), ignorenulls=True).over(after))
+    return slots.withColumn("_last", F.max("_bin").over(Window.partitionBy("book"))).drop("n")
 
 
 def levels_at(changes: DataFrame, points: DataFrame, bin_width: int = 64, snapshots: DataFrame | None = None) -> DataFrame:
     """The visible levels at each point.
 
     ``changes``: book, u, side, price, size and perhaps ordinal (see :func:`last_changes`).
-    ``points``: book, u.  A change is valid from its update to the next one of that price;
-    intervals and points meet on (book, bin of u), so no pair outside a bin is formed.
+    ``points``: book, u.  A change is valid from its update to the next one of that price; intervals and points meet on
+    (book, bin).  Bins follow the points and not the update ids, which may be as far apart as they like: a bin ends at
+    the slot of ``bin_width`` ids that fills it, so it has fewer than ``BIN_POINTS`` points and those of a slot, and
+    a resting level is repeated once for as many.
     ``snapshots``: book, u of updates that replace the whole book; changes at such an update are its levels, and
-    those before it end there."""
-    of = _bins(bin_width)
-    per = last_changes(changes)
-    end = changes.groupBy("book").agg(F.max("u").alias("_end")).unionByName(points.groupBy("book").agg(F.max("u").alias("_end"))).groupBy("book").agg(F.max("_end").alias("_end"))
-    if snapshots is None:
-        per = per.withColumns({"_epoch": F.lit(0).cast("long"), "_stop": F.lit(None).cast("long")})
-    else:
-        per = _in_epochs(per, snapshots, end, bin_width)
-    w = Window.partitionBy("book", "side", "price", "_epoch").orderBy("u")
-    spans = per.withColumn("_to", F.lead("u").over(w)).filter("size <> 0")
-    spans = spans.join(end, "book").withColumn("_to", F.coalesce("_to", "_stop", F.col("_end") + 1)).drop("_epoch", "_stop")
-    binned = spans.withColumn("_bin", F.explode(F.sequence(of(F.col("u")), of(F.col("_to") - 1)))).withColumnRenamed("u", "_from").drop("_end")
-    at = points.select("book", "u").withColumn("_bin", of(F.col("u")))
-    hit = at.join(binned, ["book", "_bin"]).filter((F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to")))
-    return hit.select("book", "u", "side", "price", "size")
+    those before it end there.
+    The result is ``book, _bin, u, side, price, size``; the functions below group by the bin as well, for which rows need not move."""
+    slot = _bins(bin_width)(F.col("u"))
+    places = _places(changes, points, bin_width, snapshots)
+    also = [c for c in places.columns if c != "book"]
+    per = last_changes(changes.withColumn("_slot", slot).join(places, ["book", "_slot"]), *also)
+    stop, stop_bin = F.lit(None).cast("long"), F.col("_last")
+    epoch = []
+    if snapshots is not None:
+        later = F.array_min(F.filter("_snaps", lambda s: s > F.col("u")))
+        per = per.withColumns({
+            "_epoch": F.coalesce(F.array_max(F.filter("_snaps", lambda s: s <= F.col("u"))), F.col("_prev")),
+            "_stop": F.coalesce(later, F.col("_next.u")), "_stop_bin": F.when(later.isNotNull(), F.col("_bin")).otherwise(F.coalesce("_next.bin", "_last")),
+        })
+        stop, stop_bin, epoch = F.col("_stop"), F.col("_stop_bin"), ["_epoch"]
+    w = Window.partitionBy("book", "side", "price", *epoch).orderBy("u")
+    spans = per.select("*", F.lead("u").over(w).alias("_u"), F.lead("_bin").over(w).alias("_b")).filter("size <> 0")
+    binned = spans.select(
+        "book", F.explode(F.sequence("_bin", F.coalesce("_b", stop_bin))).alias("_bin"), F.col("u").alias("_from"), F.coalesce("_u", stop).alias("_to"), "side", "price", "size",
+    )
+    at = points.select("book", "u").withColumn("_slot", slot).join(places.select("book", "_slot", "_bin"), ["book", "_slot"]).drop("_slot")
+    # sorted and merged at every size: the rows of a point come out in one partition, by book and bin
+    hit = at.hint("merge").join(binned, ["book", "_bin"]).filter((F.col("u") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("u") < F.col("_to"))))
+    return hit.select("book", "_bin", "u", "side", "price", "size")
+
+
+def _point(levels: DataFrame) -> list[str]:
+    """The columns of one point; the bin, where there is one, follows from the others and tells how rows are parted."""
+    return [c for c in ("book", "_bin", "u") if c in levels.columns]
 
 
 def update_ids(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -318,9 +347,9 @@ def _is(side: str) -> Column:
 def best_levels(levels: DataFrame) -> DataFrame:
     """``bid_price, bid_size, ask_price, ask_size`` by book and u; null for a missing side."""
     b, a = F.when(_is(BID), F.col("price")), F.when(_is(ASK), F.col("price"))
-    return levels.groupBy("book", "u").agg(
+    return levels.groupBy(*_point(levels)).agg(
         F.max(b).alias("bid_price"), F.max_by("size", b).alias("bid_size"), F.min(a).alias("ask_price"), F.min_by("size", a).alias("ask_size")
-    )
+    ).drop("_bin")
 
 
 def quotes(best: DataFrame) -> DataFrame:
@@ -336,12 +365,12 @@ def quotes(best: DataFrame) -> DataFrame:
 def ranked(levels: DataFrame) -> DataFrame:
     """Levels with their priority ``rank`` from 1 and cumulative size ``depth`` on their side."""
     order = F.when(_is(BID), -F.col("price")).otherwise(F.col("price"))
-    w = Window.partitionBy("book", "u", "side").orderBy(order)
+    w = Window.partitionBy(*_point(levels), "side").orderBy(order)
     return levels.select("*", F.row_number().over(w).alias("rank"), F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
 
 
 def top_n(levels: DataFrame, n: int) -> DataFrame:
-    return ranked(levels).filter(F.col("rank") <= n).drop("depth")
+    return ranked(levels).filter(F.col("rank") <= n).drop("depth", "_bin")
 
 
 def level_size(levels: DataFrame, side: str, price) -> DataFrame:
@@ -351,7 +380,7 @@ def level_size(levels: DataFrame, side: str, price) -> DataFrame:
 def depth_until_price(levels: DataFrame, side: str, price) -> DataFrame:
     """Sum of sizes from the best level through ``price``; 0 where there is none."""
     reach = F.col("price") >= price if side == BID else F.col("price") <= price
-    return levels.groupBy("book", "u").agg(F.coalesce(F.sum(F.when(_is(side) & reach, F.col("size"))), F.lit(0)).alias("depth"))
+    return levels.groupBy(*_point(levels)).agg(F.coalesce(F.sum(F.when(_is(side) & reach, F.col("size"))), F.lit(0)).alias("depth")).drop("_bin")
 
 
 def depth_until_total_size(levels: DataFrame, side: str, size) -> DataFrame:
@@ -361,18 +390,18 @@ def depth_until_total_size(levels: DataFrame, side: str, size) -> DataFrame:
     r = ranked(levels.filter(_is(side)))
     best = F.min_by("price", "rank").alias("price_from")
     hit = F.when(F.col("depth") >= size, F.col("rank"))
-    return r.groupBy("book", "u").agg(best, F.min_by("price", hit).alias("price_to"), F.min_by("depth", hit).alias("total_size")).filter("total_size is not null")
+    return r.groupBy(*_point(r)).agg(best, F.min_by("price", hit).alias("price_to"), F.min_by("depth", hit).alias("total_size")).filter("total_size is not null").drop("_bin")
 
 
 def volume_between_prices(levels: DataFrame, side: str, low, high) -> DataFrame:
     if low >= high:
         raise InvalidPriceRange("from must be below to")
     inside = _is(side) & (F.col("price") >= low) & (F.col("price") < high)
-    return levels.groupBy("book", "u").agg(F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("volume"))
+    return levels.groupBy(*_point(levels)).agg(F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("volume")).drop("_bin")
 
 
 def imbalance(levels: DataFrame, n: int) -> DataFrame:
     """``(bids - asks) / (bids + asks)`` over the top n levels of each side; null where their sum is 0."""
     top = ranked(levels)
     b, a = (F.coalesce(F.sum(F.when(_is(s) & (F.col("rank") <= n), F.col("size"))), F.lit(0)).cast("double") for s in (BID, ASK))
-    return top.groupBy("book", "u").agg(b.alias("_b"), a.alias("_a")).select("book", "u", ((F.col("_b") - F.col("_a")) / F.when(F.col("_b") + F.col("_a") != 0, F.col("_b") + F.col("_a"))).alias("imbalance"))
+    return top.groupBy(*_point(top)).agg(b.alias("_b"), a.alias("_a")).select("book", "u", ((F.col("_b") - F.col("_a")) / F.when(F.col("_b") + F.col("_a") != 0, F.col("_b") + F.col("_a"))).alias("imbalance"))
