@@ -247,3 +247,33 @@ def test_many_chunks(spark):
         snapshot.CHUNK_ROWS = old
     for seq, values in expected(fs, rows).items():
         close([got[seq][n] for n in ex.feature_names()], values)
+
+
+@pytest.mark.parametrize("long", [0, 2])
+def test_long_frames_equal_the_stepper(spark, long):
+    """Frames put together from running sums, of every length around a block's edges."""
+    from tidemark.operators import sample
+
+    rows, fs = stream(9, 200), FeatureSet()
+    for y in ("BTC", "eth"):
+        fs.sma(y, [1, 2, 3, 7, 40, 1000], source="trade_price").sma(y, [3, 5]).cvd(y, [2, 4, 11, 500]).sma(y, [6, 900], source="volume", warmup=FIRST).cvd(y, [3, 600], warmup=FIRST)
+    old, sample.LONG_FRAME = sample.LONG_FRAME, long
+    try:
+        ex = FeatureExtractor(fs)
+        got = {r["seq"]: r for r in ex.transform(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        sample.LONG_FRAME = old
+    for seq, values in expected(fs, rows).items():
+        close([got[seq][n] for n in ex.feature_names()], values)
+
+
+def test_a_frame_costs_the_same_at_any_length(spark):
+    """60,000 rows of one symbol in frames of up to a million rows; adding up each frame anew would take minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).select(F.col("id").alias("seq"), F.lit(KIND_PRICE).alias("kind"), F.lit("a").alias("symbol"), F.col("id").alias("ts"), F.lit(1.5).alias("price"))
+    ex, began = FeatureExtractor(FeatureSet().sma("a", [30_000, 1_000_000], warmup=FIRST)), time.perf_counter()
+    assert {tuple(r) for r in ex.transform(df, check=False).select(*[F.col(f"`{n}`") for n in ex.feature_names()]).distinct().collect()} == {(1.5, 1.5)}
+    assert time.perf_counter() - began < 30

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .errors import TidemarkError
 from .events import KIND_TRADE, SOURCES, as_events, lower_ascii, trades
 from .functions.clock import day_of_week, with_time_since_first_event_of_day
-from .operators.sample import classified, ema, moving_average, volume_delta
+from .operators.sample import classified, ema, frame_column
 from .operators.snapshot import chunk_bounds, chunk_of, forward_fill
 from .operators.timed import timed_cells
 from .plans.features import CompiledSet, FeatureDefinition, FeatureSet, WarmupPolicy, compile_set
@@ -103,12 +103,13 @@ class FeatureExtractor:
             work = work.withColumn("_ck", chunk_of(chunk_bounds(ev)))
         if sample:
             work = self._with_ema(work, [d for d in sample if d.kind == "ema"])
-            cols: dict[str, Column] = {}
+            kept = [F.col(f"`{c}`") for c in work.columns]
+            frames: dict[tuple, str] = {}  # one window of a source and length serves all symbols
             for d in sample:
-                if d.kind != "ema":
-                    cols[d.name] = self._sample(d)
-            kept = [c for c in work.columns if not c.startswith("_cls")]
-            work = work.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in cols.items()])
+                if d.kind != "ema" and (f := self._frame(d)) not in frames:
+                    frames[f] = f"_f{len(frames)}"
+                    work = frame_column(work, frames[f], *f)
+            work = work.select(*kept, *[self._hit(d, frames[self._frame(d)]).alias(d.name) for d in sample if d.kind != "ema"])
             filled = [d.name for d in sample]
             work = forward_fill(work, filled)
         work, by_name = timed_cells(work, timed) if timed else (work, {})
@@ -127,14 +128,13 @@ class FeatureExtractor:
         return work.select("seq", "symbol", "ts", *carry, *out)
 
     @staticmethod
-    def _sample(d: FeatureDefinition) -> Column:
-        full = d.warmup is WarmupPolicy.FULL_WINDOW
-        if d.kind == "cvd":
-            value, hit = volume_delta(["symbol", "kind", classified()], d.window, full), classified()
-        else:
-            kind, column = SOURCES[d.source]
-            value, hit = moving_average(F.col(column), ["symbol", "kind"], d.window, full), F.col("kind") == kind
-        return F.when(hit & (F.col("symbol") == d.symbol), value)
+    def _frame(d: FeatureDefinition) -> tuple:
+        return d.kind, None if d.kind == "cvd" else SOURCES[d.source][1], d.window, d.warmup is WarmupPolicy.FULL_WINDOW
+
+    @staticmethod
+    def _hit(d: FeatureDefinition, frame: str) -> Column:
+        hit = classified() if d.kind == "cvd" else F.col("kind") == SOURCES[d.source][0]
+        return F.when(hit & (F.col("symbol") == d.symbol), F.col(frame))
 
     @staticmethod
     def _with_ema(work: DataFrame, defs: list[FeatureDefinition]) -> DataFrame:

@@ -29,15 +29,53 @@ def volume_delta(keys: list[Column | str], n: int, full: bool, seq: str = "seq")
     """Sum of the last ``n`` signed volumes of classified trades, null on other rows.
 
     ``keys`` must part classified trades from the rest (see :func:`classified`)."""
-    signed = F.when(F.col("side") == SIDE_BUY, F.col("volume")).when(F.col("side") == SIDE_SELL, -F.col("volume"))
+    signed = _signed()
     w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(-(n - 1), 0)
     return F.when(classified(), _ready(F.sum(signed).over(w), F.count(signed).over(w), n, full))
 
 
+def _signed() -> Column:
+    return F.when(F.col("side") == SIDE_BUY, F.col("volume")).when(F.col("side") == SIDE_SELL, -F.col("volume"))
+
+
 def classified() -> Column:
     return (F.col("kind") == KIND_TRADE) & F.col("side").isNotNull()
 
 
+#: Frames of more rows are put together from running sums: Spark adds up every row of a frame anew for each row.
+LONG_FRAME = 256
+
+
+def frame_column(df: DataFrame, name: str, kind: str, column: str | None, n: int, full: bool, seq: str = "seq") -> DataFrame:
+    """``df`` with the moving average of ``column`` (kind ``sma``) or the volume delta (``cvd``) over ``n`` rows, of all symbols."""
+    keys: list[Column | str] = ["symbol", "kind"] if kind == "sma" else ["symbol", "kind", classified()]
+    if n <= LONG_FRAME:
+        return df.withColumn(name, moving_average(F.col(column), keys, n, full, seq) if kind == "sma" else volume_delta(keys, n, full, seq))
+    got = _long_frame(df, F.col(column) if kind == "sma" else _signed(), keys, n, seq)
+    total = F.when(F.col("_fn") > 0, F.col("_fs"))
+    value = _ready(total / F.col("_fn") if kind == "sma" else total, F.col("_fn"), n, full)
+    return got.withColumn(name, value if kind == "sma" else F.when(classified(), value)).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def _long_frame(df: DataFrame, value: Column, keys: list[Column | str], n: int, seq: str) -> DataFrame:
+    """``df`` with the sum and count of the last ``n`` values of its keys (``_fs``, ``_fn``), at a cost a row that does not depend on ``n``.
+
+    Rows are cut into blocks of ``n``; a frame is the head of its row's block and the tail of the block before, both
+    running sums from the block's end.  Nothing is subtracted, so no digits are lost and a NaN leaves with its frame."""
+    parts = [f"_p{i}" for i in range(len(keys))]
+    run = Window.partitionBy(*parts).orderBy(seq)
+    out = df.withColumns({**{p: F.col(k) if isinstance(k, str) else k for p, k in zip(parts, keys, strict=True)}, "_v": value})
+    out = out.withColumn("_r", F.row_number().over(run) - 1).withColumn("_k", F.floor(F.col("_r") / F.lit(n)))
+    sums = {}
+    for side, order in (("h", F.asc(seq)), ("t", F.desc(seq))):
+        w = Window.partitionBy(*parts, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        sums |= {f"_{side}s": F.sum("_v").over(w), f"_{side}n": F.count("_v").over(w)}
+    out = out.withColumns(sums)
+    before = lambda c: F.when(F.col("_r") % n != n - 1, F.lag(c, n - 1).over(run))  # noqa: E731  the last row of a block has its frame in the block
+    zero = lambda c, z: F.coalesce(c, F.lit(z))
+    return out.withColumns({"_fs": zero(F.col("_hs"), 0.0) + zero(before("_ts"), 0.0), "_fn": F.col("_hn") + zero(before("_tn"), 0)})
+
+
 def ema(df: DataFrame, keys: list[str], value: str, spans: list[int], seq: str = "seq", chunk: str = "_ck", names: list[str] | None = None) -> DataFrame:
     """``df`` with ``_n`` (rows of the keys so far) and one EMA column a span.
 
