@@ -277,3 +277,25 @@ def test_a_frame_costs_the_same_at_any_length(spark):
     ex, began = FeatureExtractor(FeatureSet().sma("a", [30_000, 1_000_000], warmup=FIRST)), time.perf_counter()
     assert {tuple(r) for r in ex.transform(df, check=False).select(*[F.col(f"`{n}`") for n in ex.feature_names()]).distinct().collect()} == {(1.5, 1.5)}
     assert time.perf_counter() - began < 30
+
+
+def test_stream_holds_one_stretch_at_a_time(spark, monkeypatch):
+    """A table of several stretches, in any order of rows, gives the steps' results; none of its micro-batches holds the whole."""
+    from pathlib import Path
+
+    from tidemark.streaming import run
+
+    monkeypatch.setattr(run, "BATCH_ROWS", 25)
+    rows = stream(11, 60)
+    fs = FeatureSet().ema("eth", [3], source="trade_price", warmup=FIRST).day_of_week()
+    name, names = "stretches-" + str(random.random()), FeatureExtractor(fs).feature_names()
+    mixed = random.Random(1).sample(rows, len(rows))
+    used, given = [], run.work_dir
+    monkeypatch.setattr(run, "work_dir", lambda s, n: used.append(given(s, n)) or used[-1])
+    out = run.stream_to_table(spark, spark.createDataFrame(mixed, SCHEMA).repartition(3), lambda s: stream_features(s, fs), name)
+    got = {r["seq"]: [None if r[n] is None or r[n] != r[n] else r[n] for n in names] for r in out.collect()}
+    assert len(got) == len(rows)
+    for seq, values in expected(fs, rows).items():
+        close(got[seq], values)
+    batches = [f for f in (Path(used[0].removeprefix("file://")) / "state" / "commits").iterdir() if f.name.isdigit()]
+    assert len(batches) >= 3
