@@ -169,3 +169,57 @@ def test_update_ids_far_apart(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
     plain = ob.levels_at(ch, spark.createDataFrame(points, "book string, u long"), 16)
     assert {r["u"] for r in ob.best_levels(plain).filter("book = 'far'").collect()} == {u for n, u in want if n == "far"}
+
+
+@pytest.mark.parametrize("with_snapshots", [False, True])
+def test_large_books_in_parts(spark, monkeypatch, with_snapshots):
+    """A book over ``BOOK_ROWS`` rows is cut by update id; levels and snapshots before a part enter it."""
+    import random
+
+    rng, rows, snaps, want = random.Random(6), [], [], {}
+    for name, n in (("large", 600), ("middle", 250), ("small", 20)):
+        b = OrderBook(Policy.MONOTONIC, 10**9)
+        b.apply_snapshot(0, [], [])
+        for u in range(1, n):
+            changes = []
+            for _ in range(rng.randint(1, 2)):
+                side = rng.choice([BID, ASK])
+                changes.append((side, D(rng.randint(60, 99) if side == BID else rng.randint(100, 139)), D(rng.randint(0, 4))))
+            if with_snapshots and u % 170 == 5:
+                final = {(s, p): z for s, p, z in changes}
+                b.apply_snapshot(u, *[[(p, z) for (s, p), z in final.items() if s == side] for side in (BID, ASK)])
+                snaps.append((name, u))
+            else:
+                b.apply_delta(u, changes)
+            rows += [(name, u, *c, i) for i, c in enumerate(changes)]
+            want[name, u] = {(s, p, z) for s, side in ((BID, b.bids), (ASK, b.asks)) for p, z in side.items()}
+    ch = spark.createDataFrame(rows, "book string, u long, side string, price decimal(18,8), size decimal(18,8), ordinal int").repartition(5, "size")
+    sn = spark.createDataFrame(snaps, "book string, u long") if with_snapshots else None
+    monkeypatch.setattr(ob, "BOOK_ROWS", 150)
+    every = ob.levels_at(ch, snapshots=sn).collect()
+    third = ob.levels_at(ch, ch.select("book", "u").filter("u % 3 = 1").distinct(), 8, sn).collect()
+    for got, seen in ((every, want), (third, {k: v for k, v in want.items() if k[1] % 3 == 1})):
+        by: dict = {}
+        for r in got:
+            by.setdefault((r["book"], r["u"]), []).append((r["side"], r["price"], r["size"]))
+        assert {k: sorted(v) for k, v in by.items()} == {k: sorted(v) for k, v in seen.items() if v}
+        parts = {n: {r["_chunk"] for r in got if r["book"] == n} for n in ("large", "middle", "small")}
+        assert len(parts["large"]) > 3 and len(parts["middle"]) > 1 and len(parts["small"]) == 1
+
+
+@pytest.mark.parametrize("name", ["best_levels", "mid_spread_bps", "weighted_mid", "microprice", "top_n", "level", "depth_until_price", "depth_until_size", "volume_between", "imbalance"])
+def test_changes_move_once(spark, sf, name):
+    """The levels of a book come from one exchange of its changes, and nothing is sorted after that but spans by book."""
+    from tidemark.queries import QUERIES
+
+    plan = QUERIES[f"book_{name}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Exchange ") == 1
+    assert "Join" not in plan
+
+
+def test_levels_without_a_price_come_last(spark):
+    rows = [("x", 1, ASK, None, D(7)), ("x", 2, ASK, D(101), D(2)), ("x", 3, ASK, D(101), D(0)), ("x", 4, BID, D(99), None)]
+    lv = ob.ladders_at(spark.createDataFrame(rows, "book string, u long, side string, price decimal(18,8), size decimal(18,8)"))
+    best = {r["u"]: (r["ask_price"], r["ask_size"]) for r in ob.best_levels(lv).collect()}
+    assert best == {1: (None, None), 2: (101, 2), 3: (None, None), 4: (None, None)}
+    assert {(r["u"], r["rank"], r["price"]) for r in ob.top_n(lv, 2).collect()} == {(1, 1, None), (2, 1, 101), (2, 2, None), (3, 1, None), (4, 1, None)}

@@ -1,9 +1,9 @@
 """L2 order books: the synchronising state machine, and queries over level relations.
 
 ``OrderBook`` is the state machine for one book; ``synchronize`` runs it for many books of
-an update log.  Logs without gaps need no state machine: ``levels_at`` gives the visible
-levels at chosen updates relationally, and the query functions work on that relation
-``(book, u, side, price, size)`` with sides ``bid`` and ``ask``.
+an update log.  Logs without gaps need no state machine: ``ladders_at`` gives the visible
+levels at chosen updates, ``levels_at`` the same as a relation ``(book, u, side, price,
+size)`` with sides ``bid`` and ``ask``; the query functions work on either.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from enum import Enum
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..errors import TidemarkError
@@ -260,78 +261,146 @@ def synchronize(updates: DataFrame, policy: Policy = Policy.CONTIGUOUS, buffer_s
 # -- relational form --
 
 
-def _bins(bin_width: int):
-    return lambda c: F.floor(c / F.lit(bin_width)).cast("long")
+#: Points of a book that share a list of levels; a level that rests long is once in each of these lists.
+BIN_POINTS = 32
+#: Rows of a book up to which one task takes it whole; books with more are cut by update id.
+BOOK_ROWS = 200_000
 
+_CHANGE, _POINT, _SNAPSHOT = 0, 1, 2
 
-def last_changes(changes: DataFrame, *also: str) -> DataFrame:
-    """One size a book, side, price and update: that of the highest ``ordinal``; of the largest size where
-    changes have no ordinal (their order is not known then).  ``also``: columns that follow from book and update."""
-    size = F.max_by("size", "ordinal") if "ordinal" in changes.columns else F.max("size")
-    return changes.groupBy("book", *also, "side", "price", "u").agg(size.alias("size"))
 
+def _is(side: str) -> Column:
+    return F.col("side") == side
 
-#: Points of a book that meet the same levels at least; a level that rests long is one row for so many points.
-BIN_POINTS = 64
 
+def _rung(side: str, *also: Column) -> Column:
+    """A level in the order of its side, best first; one without a price comes last."""
+    price = F.col("price")
+    return F.struct(price.isNull().alias("_none"), (-price if side == BID else price).alias("_order"), price, F.col("size"), *also)
 
-def _places(changes: DataFrame, points: DataFrame, bin_width: int, snapshots: DataFrame | None) -> DataFrame:
-    """By book and slot of update ids (``_slot``, those in use only): how many times ``BIN_POINTS`` points lie before it (``_bin``), the
-    book's last such number (``_last``), and the snapshots around it: in the slot, the last one before and the first one after."""
-    of = _bins(bin_width)
-    none = F.lit(None).cast("long")
-    seen = points.select("book", "u", F.lit(1).alias("n"), none.alias("s")).unionByName(changes.select("book", "u", F.lit(0).alias("n"), none.alias("s")))
-    if snapshots is not None:
-        seen = seen.unionByName(snapshots.select("book", "u", F.lit(0).alias("n"), F.col("u").cast("long").alias("s")))
-    snaps = [F.collect_set("s").alias("_snaps")] if snapshots is not None else []
-    slots = seen.groupBy("book", of(F.col("u")).alias("_slot")).agg(F.sum("n").alias("n"), *snaps)
-    book = Window.partitionBy("book").orderBy("_slot")
-    before, after = book.rowsBetween(Window.unboundedPreceding, -1), book.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("_bin", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(BIN_POINTS)))
-    if snapshots is not None:
-        slots = slots.withColumn("_prev", F.max(F.array_max("_snaps")).over(before))
-        slots = slots.withColumn("_next", F.last(F.when(F.size("_snaps") > 0, F.struct(F.array_min("_snaps").alias("u"), F.col("_bin").alias("bin"))), ignorenulls=True).over(after))
-    return slots.withColumn("_last", F.max("_bin").over(Window.partitionBy("book"))).drop("n")
-
-
-def levels_at(changes: DataFrame, points: DataFrame, bin_width: int = 64, snapshots: DataFrame | None = None) -> DataFrame:
-    """The visible levels at each point.
-
-    ``changes``: book, u, side, price, size and perhaps ordinal (see :func:`last_changes`).
-    ``points``: book, u.  A change is valid from its update to the next one of that price; intervals and points meet on
-    (book, bin).  Bins follow the points and not the update ids, which may be as far apart as they like: a bin ends at
-    the slot of ``bin_width`` ids that fills it, so it has fewer than ``BIN_POINTS`` points and those of a slot, and
-    a resting level is repeated once for as many.
-    ``snapshots``: book, u of updates that replace the whole book; changes at such an update are its levels, and
-    those before it end there.
-    The result is ``book, _bin, u, side, price, size``; the functions below group by the bin as well, for which rows need not move."""
-    slot = _bins(bin_width)(F.col("u"))
-    places = _places(changes, points, bin_width, snapshots)
-    also = [c for c in places.columns if c != "book"]
-    per = last_changes(changes.withColumn("_slot", slot).join(places, ["book", "_slot"]), *also)
-    stop, stop_bin = F.lit(None).cast("long"), F.col("_last")
+
+def _cuts(rows: DataFrame) -> DataFrame | None:
+    """``book, _cuts`` of the books over ``BOOK_ROWS`` rows: update ids that cut them in parts of about as many.  Of larger inputs the books with
+    over a thousandth of all rows, which are fewer than a thousand."""
+    total = rows.count()
+    if total <= BOOK_ROWS:
+        return None
+    often = rows.stat.freqItems(["book"], max(0.001, BOOK_ROWS / total)).first()[0]  # these and others
+    often = rows.filter(F.col("book").isin(list(often)))
+    large = {r["book"]: r["n"] for r in often.groupBy("book").agg(F.count("*").alias("n")).collect() if r["n"] > BOOK_ROWS}
+    if not large:
+        return None
+    n = -(-max(large.values()) // BOOK_ROWS)
+    got = often.filter(F.col("book").isin(list(large))).groupBy("book").agg(F.percentile_approx("u", [i / n for i in range(1, n)], max(1000, 4 * n)).alias("q")).collect()
+    return rows.sparkSession.createDataFrame([(r["book"], sorted(set(r["q"]))) for r in got], StructType([rows.schema["book"], StructField("_cuts", ArrayType(LongType()))]))
+
+
+def _carried(rows: DataFrame, tie: Column) -> DataFrame:
+    """Of books in parts: for each part the last change of each price, and the last snapshot, before it; those that a snapshot between has ended are left out."""
+    key = ["book", "_kind", "side", "price"]
+    ends = rows.filter(f"_cuts is not null and _kind <> {_POINT}").groupBy(*key, "_chunk").agg(F.max(F.struct("u", tie.alias("t"), "size")).alias("e"), F.first("_cuts").alias("_cuts"))
+    stops = ends.filter(f"_kind = {_SNAPSHOT}").groupBy("book").agg(F.sort_array(F.collect_list(F.struct("_chunk", F.col("e.u").alias("u")))).alias("_stops"))
+    after = lambda s: (s["_chunk"] > F.col("_chunk")) | ((s["_chunk"] == F.col("_chunk")) & (s["u"] > F.col("e.u")))
+    until = F.coalesce(F.lead("_chunk").over(Window.partitionBy(*key).orderBy("_chunk")), F.size("_cuts"))
+    ends = ends.withColumn("_until", until).join(F.broadcast(stops), "book", "left")
+    ends = ends.withColumn("_until", F.least("_until", F.get(F.filter("_stops", after), F.lit(0))["_chunk"]))
+    ends = ends.filter(f"_until > _chunk and (_kind = {_SNAPSHOT} or e.size <> 0)")
+    return ends.select(*key, "e.u", "e.size", F.explode(F.sequence(F.col("_chunk") + 1, F.col("_until"))).alias("_chunk"))
+
+
+def ladders_at(changes: DataFrame, points: DataFrame | None = None, bin_width: int = BIN_POINTS, snapshots: DataFrame | None = None) -> DataFrame:
+    """The visible levels at each point as two arrays, best level first: ``book, _chunk, u, bids, asks``, for points with a level.
+
+    ``changes``: book, u, side, price, size and perhaps ordinal.  Of several changes of a price in one update the one of the highest ``ordinal``
+    counts; the largest size where changes have no ordinal (their order is not known then).
+    ``points``: book, u; without them every update is one.  ``snapshots``: book, u of updates that replace the whole book; changes at such an
+    update are its levels, and those before it end there.
+
+    Rows move once, to the book or, of a book over ``BOOK_ROWS`` rows, to its part (``_chunk``), which the levels before it enter as rows.  There
+    the points are numbered; ``bin_width`` of them share a list of all levels that any of them sees, from which each point takes its own.  Update
+    ids may be as far apart as they like.  All functions below take this form, for which nothing moves or is sorted again."""
+    tie = "ordinal" if "ordinal" in changes.columns else "size"
+    rows = changes.select("book", "u", F.lit(_CHANGE).alias("_kind"), "side", "price", "size", *(["ordinal"] if tie == "ordinal" else []))
+    for kind, df in ((_POINT, points), (_SNAPSHOT, snapshots)):
+        if df is not None:
+            rows = rows.unionByName(df.select("book", "u", F.lit(kind).alias("_kind")), allowMissingColumns=True)
+    rows = rows.filter("book is not null and u is not null")
+    cuts, at = _cuts(rows), F.col("u")
+    if cuts is None:
+        rows = rows.withColumn("_chunk", F.lit(0))
+    else:
+        chunk = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("u"))), F.lit(0))
+        rows = rows.join(F.broadcast(cuts), "book", "left").withColumn("_chunk", F.when(F.col("_cuts").isNotNull(), chunk).otherwise(0))
+        rows = rows.withColumn("_in", F.lit(False)).unionByName(_carried(rows, F.col(tie)).withColumn("_in", F.lit(True)), allowMissingColumns=True).drop("_cuts")
+        at = F.when(~F.col("_in"), F.col("u"))  # what enters a part stands before all of it
+    is_point = F.col("_kind") == (_CHANGE if points is None else _POINT)
+    if cuts is not None:
+        is_point = is_point & ~F.col("_in")
+    is_snapshot = F.col("_kind") == _SNAPSHOT
+
+    part = ["book", "_chunk"]
+    so_far = Window.partitionBy(*part).orderBy(at)
+    seen = F.dense_rank().over(so_far) if points is None else F.sum(is_point.cast("int")).over(so_far)
+    rows = rows.withColumn("_bin", F.greatest(F.floor((seen - 1) / F.lit(bin_width)), F.lit(0)).cast("int"))
+    rows = rows.withColumn("_stop", F.max("_bin").over(Window.partitionBy(*part)))
     epoch = []
     if snapshots is not None:
-        later = F.array_min(F.filter("_snaps", lambda s: s > F.col("u")))
-        per = per.withColumns({
-            "_epoch": F.coalesce(F.array_max(F.filter("_snaps", lambda s: s <= F.col("u"))), F.col("_prev")),
-            "_stop": F.coalesce(later, F.col("_next.u")), "_stop_bin": F.when(later.isNotNull(), F.col("_bin")).otherwise(F.coalesce("_next.bin", "_last")),
-        })
-        stop, stop_bin, epoch = F.col("_stop"), F.col("_stop_bin"), ["_epoch"]
-    w = Window.partitionBy("book", "side", "price", *epoch).orderBy("u")
-    spans = per.select("*", F.lead("u").over(w).alias("_u"), F.lead("_bin").over(w).alias("_b")).filter("size <> 0")
-    binned = spans.select(
-        "book", F.explode(F.sequence("_bin", F.coalesce("_b", stop_bin))).alias("_bin"), F.col("u").alias("_from"), F.coalesce("_u", stop).alias("_to"), "side", "price", "size",
-    )
-    at = points.select("book", "u").withColumn("_slot", slot).join(places.select("book", "_slot", "_bin"), ["book", "_slot"]).drop("_slot")
-    # sorted and merged at every size: the rows of a point come out in one partition, by book and bin
-    hit = at.hint("merge").join(binned, ["book", "_bin"]).filter((F.col("u") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("u") < F.col("_to"))))
-    return hit.select("book", "_bin", "u", "side", "price", "size")
+        far = F.lit(2**31 - 1)
+        following = F.coalesce(F.lead("_bin").over(Window.partitionBy(*part, "_kind").orderBy("u")), far)
+        rows = rows.withColumn("_next", F.when(is_snapshot, F.struct("u", following.alias("bin"))))
+        first = F.coalesce(F.min(F.when(is_snapshot, F.col("_bin"))).over(Window.partitionBy(*part)), far)
+        rows = rows.withColumn("_now", F.max("_next").over(so_far)).withColumn("_stop", F.least("_stop", F.coalesce("_now.bin", first)))
+        rows, epoch = rows.withColumn("_epoch", F.col("_now.u")).drop("_next", "_now"), ["_epoch"]
+    price = Window.partitionBy(*part, "_kind", "side", "price").orderBy("u", tie, "size")
+    rows = rows.select("*", F.lead("u").over(price).alias("_to"), F.lead("_bin").over(price).alias("_to_bin"))
+
+    rests = (F.col("_kind") == _CHANGE) & (F.col("size") != 0)
+    rows = rows.withColumns({"_rests": F.coalesce(rests, F.lit(False)), "_is_point": is_point})
+    rows = rows.filter(f"(_is_point or _rests) and (_kind <> {_CHANGE} or _to is null or _to <> u)")
+    bins = F.when(F.col("_rests"), F.sequence("_bin", F.least(F.coalesce("_to_bin", "_stop"), "_stop"))).otherwise(F.array("_bin"))
+    rows = rows.withColumn("_here", F.explode(bins))
+    span = [F.col("u").alias("_from"), F.col("_to"), *epoch]
+    own = F.when(F.col("_is_point") & (F.col("_here") == F.col("_bin")), F.struct("u", *epoch))
+    sides = [F.sort_array(F.collect_list(F.when(F.col("_rests") & _is(s), _rung(s, *span)))).alias(f"_{s}s") for s in (BID, ASK)]
+    lists = rows.groupBy(*part, "_here").agg(*sides, F.collect_set(own).alias("_points"))
+
+    def visible(s: Column) -> Column:
+        now = (s["_from"] <= F.col("_p.u")) & (s["_to"].isNull() | (F.col("_p.u") < s["_to"]))
+        return now & s["_epoch"].eqNullSafe(F.col("_p._epoch")) if epoch else now
+
+    each = lists.select(*part, F.explode("_points").alias("_p"), "_bids", "_asks").filter(F.exists("_bids", visible) | F.exists("_asks", visible))
+    return each.select(*part, "_p.u", F.filter("_bids", visible).alias("bids"), F.filter("_asks", visible).alias("asks"))
+
+
+def levels_at(changes: DataFrame, points: DataFrame | None = None, bin_width: int = BIN_POINTS, snapshots: DataFrame | None = None) -> DataFrame:
+    """The levels of :func:`ladders_at` as the relation ``book, _chunk, u, side, price, size``."""
+
+    def of(side: str) -> Column:
+        return F.transform(f"{side}s", lambda s: F.struct(F.lit(side).alias("side"), s["price"].alias("price"), s["size"].alias("size")))
+
+    return ladders_at(changes, points, bin_width, snapshots).select("book", "_chunk", "u", F.inline(F.concat(of(BID), of(ASK))))
 
 
 def _point(levels: DataFrame) -> list[str]:
-    """The columns of one point; the bin, where there is one, follows from the others and tells how rows are parted."""
-    return [c for c in ("book", "_bin", "u") if c in levels.columns]
+    """The columns of one point; the chunk, where there is one, follows from the others and tells how rows are parted."""
+    return [c for c in ("book", "_chunk", "u") if c in levels.columns]
+
+
+def _ladders(levels: DataFrame) -> DataFrame:
+    """The form with two arrays, of a relation too."""
+    if "bids" in levels.columns:
+        return levels
+    return levels.groupBy(*_point(levels)).agg(*[F.sort_array(F.collect_list(F.when(_is(s), _rung(s)))).alias(f"{s}s") for s in (BID, ASK)])
+
+
+def _total(ladders: DataFrame, rungs: Column) -> Column:
+    """Sum of the sizes."""
+    kind = _sum_type(ladders)
+    return F.aggregate(rungs, F.lit(0).cast(kind), lambda a, s: (a + s["size"]).cast(kind))
+
+
+def _sum_type(ladders: DataFrame) -> DataType:
+    return ladders.select(F.get("bids", F.lit(0))["size"].alias("size")).agg(F.sum("size")).schema[0].dataType
 
 
 def update_ids(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -340,16 +409,10 @@ def update_ids(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     return last.groupBy("book").agg(F.max("u").alias("last_update_id"), F.max("s").alias("last_snapshot_update_id"))
 
 
-def _is(side: str) -> Column:
-    return F.col("side") == side
-
-
 def best_levels(levels: DataFrame) -> DataFrame:
     """``bid_price, bid_size, ask_price, ask_size`` by book and u; null for a missing side."""
-    b, a = F.when(_is(BID), F.col("price")), F.when(_is(ASK), F.col("price"))
-    return levels.groupBy(*_point(levels)).agg(
-        F.max(b).alias("bid_price"), F.max_by("size", b).alias("bid_size"), F.min(a).alias("ask_price"), F.min_by("size", a).alias("ask_size")
-    ).drop("_bin")
+    first = [(s, F.get(f"{s}s", F.lit(0))) for s in (BID, ASK)]
+    return _ladders(levels).select("book", "u", *[c for s, x in first for c in (x["price"].alias(f"{s}_price"), F.when(x["price"].isNotNull(), x["size"]).alias(f"{s}_size"))])
 
 
 def quotes(best: DataFrame) -> DataFrame:
@@ -370,38 +433,49 @@ def ranked(levels: DataFrame) -> DataFrame:
 
 
 def top_n(levels: DataFrame, n: int) -> DataFrame:
-    return ranked(levels).filter(F.col("rank") <= n).drop("depth", "_bin")
+    """The first ``n`` levels of each side with their ``rank`` from 1."""
+
+    def first(side: str) -> Column:
+        return F.transform(F.slice(f"{side}s", 1, n), lambda s, i: F.struct(F.lit(side).alias("side"), s["price"].alias("price"), s["size"].alias("size"), (i + 1).alias("rank")))
+
+    return _ladders(levels).select("book", "u", F.inline(F.concat(first(BID), first(ASK))))
 
 
 def level_size(levels: DataFrame, side: str, price) -> DataFrame:
-    return levels.filter(_is(side) & (F.col("price") == price)).select("book", "u", "size")
+    return _ladders(levels).select("book", "u", F.explode(F.filter(f"{side}s", lambda s: s["price"] == price)).alias("_s")).select("book", "u", "_s.size")
 
 
 def depth_until_price(levels: DataFrame, side: str, price) -> DataFrame:
     """Sum of sizes from the best level through ``price``; 0 where there is none."""
-    reach = F.col("price") >= price if side == BID else F.col("price") <= price
-    return levels.groupBy(*_point(levels)).agg(F.coalesce(F.sum(F.when(_is(side) & reach, F.col("size"))), F.lit(0)).alias("depth")).drop("_bin")
+    ladders = _ladders(levels)
+    within = F.filter(f"{side}s", lambda s: s["price"] >= price if side == BID else s["price"] <= price)
+    return ladders.select("book", "u", _total(ladders, within).alias("depth"))
 
 
 def depth_until_total_size(levels: DataFrame, side: str, size) -> DataFrame:
     """``price_from, price_to, total_size`` of the first levels that hold ``size``; no row where they cannot."""
+    ladders, rungs = _ladders(levels), F.col(f"{side}s")
     if size <= 0:
-        return ranked(levels.filter(F.lit(False))).select("book", "u", F.col("price").alias("price_from"), F.col("price").alias("price_to"), F.col("depth").alias("total_size"))
-    r = ranked(levels.filter(_is(side)))
-    best = F.min_by("price", "rank").alias("price_from")
-    hit = F.when(F.col("depth") >= size, F.col("rank"))
-    return r.groupBy(*_point(r)).agg(best, F.min_by("price", hit).alias("price_to"), F.min_by("depth", hit).alias("total_size")).filter("total_size is not null").drop("_bin")
+        ladders = ladders.filter(F.lit(False))
+    kind, best = _sum_type(ladders), F.get(rungs, F.lit(0))["price"]
+    price = ladders.select(best.alias("p")).schema[0].dataType
+    start = F.struct(F.lit(0).cast(kind).alias("total"), F.lit(None).cast(price).alias("price"))
+    reached = F.aggregate(rungs, start, lambda a, s: F.when(a["total"] >= size, a).otherwise(F.struct((a["total"] + s["size"]).cast(kind).alias("total"), s["price"].alias("price"))))
+    held = F.filter(F.array(reached), lambda a: a["total"] >= size)
+    return ladders.select("book", "u", F.inline(F.transform(held, lambda a: F.struct(best.alias("price_from"), a["price"].alias("price_to"), a["total"].alias("total_size")))))
 
 
 def volume_between_prices(levels: DataFrame, side: str, low, high) -> DataFrame:
     if low >= high:
         raise InvalidPriceRange("from must be below to")
-    inside = _is(side) & (F.col("price") >= low) & (F.col("price") < high)
-    return levels.groupBy(*_point(levels)).agg(F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("volume")).drop("_bin")
+    ladders = _ladders(levels)
+    inside = F.filter(f"{side}s", lambda s: (s["price"] >= low) & (s["price"] < high))
+    return ladders.select("book", "u", _total(ladders, inside).alias("volume"))
 
 
 def imbalance(levels: DataFrame, n: int) -> DataFrame:
     """``(bids - asks) / (bids + asks)`` over the top n levels of each side; null where their sum is 0."""
-    top = ranked(levels)
-    b, a = (F.coalesce(F.sum(F.when(_is(s) & (F.col("rank") <= n), F.col("size"))), F.lit(0)).cast("double") for s in (BID, ASK))
-    return top.groupBy(*_point(top)).agg(b.alias("_b"), a.alias("_a")).select("book", "u", ((F.col("_b") - F.col("_a")) / F.when(F.col("_b") + F.col("_a") != 0, F.col("_b") + F.col("_a"))).alias("imbalance"))
+    ladders = _ladders(levels)
+    sums = ladders.select("book", "u", *[_total(ladders, F.slice(f"{s}s", 1, n)).cast("double").alias(f"_{s}") for s in (BID, ASK)])
+    b, a = F.col("_bid"), F.col("_ask")
+    return sums.select("book", "u", ((b - a) / F.when(b + a != 0, b + a)).alias("imbalance"))

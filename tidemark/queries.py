@@ -232,8 +232,7 @@ def _changes(spark, sf_dir) -> DataFrame:
 
 
 def _levels(spark, sf_dir) -> DataFrame:
-    c = _changes(spark, sf_dir)
-    return ob.levels_at(c, c.select("book", "u"), bin_width=256)
+    return ob.ladders_at(_changes(spark, sf_dir))
 
 
 def _d(c: str, name: str | None = None) -> Column:
@@ -290,8 +289,7 @@ def _snapshots(spark, sf_dir) -> DataFrame:
 
 def book_after_snapshots(spark, sf_dir):
     """Best levels of books that every update with a number ending in 3 replaces as a whole."""
-    c = _changes(spark, sf_dir)
-    levels = ob.levels_at(c, c.select("book", "u"), bin_width=256, snapshots=_snapshots(spark, sf_dir))
+    levels = ob.ladders_at(_changes(spark, sf_dir), snapshots=_snapshots(spark, sf_dir))
     return ob.best_levels(levels).select("book", "u", *[_d(c) for c in ("bid_price", "bid_size", "ask_price", "ask_size")])
 
 
