@@ -264,7 +264,7 @@ def synchronize(updates: DataFrame, policy: Policy = Policy.CONTIGUOUS, buffer_s
 #: Points of a book that share a list of levels; a level that rests long is once in each of these lists.
 BIN_POINTS = 32
 #: Rows of a book up to which one task takes it whole; books with more are cut by update id.
-BOOK_ROWS = 200_000
+BOOK_ROWS = 50_000
 
 _CHANGE, _POINT, _SNAPSHOT = 0, 1, 2
 
