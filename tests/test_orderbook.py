@@ -223,3 +223,32 @@ def test_levels_without_a_price_come_last(spark):
     best = {r["u"]: (r["ask_price"], r["ask_size"]) for r in ob.best_levels(lv).collect()}
     assert best == {1: (None, None), 2: (101, 2), 3: (None, None), 4: (None, None)}
     assert {(r["u"], r["rank"], r["price"]) for r in ob.top_n(lv, 2).collect()} == {(1, 1, None), (2, 1, 101), (2, 2, None), (3, 1, None), (4, 1, None)}
+
+
+@pytest.mark.parametrize("name", ["imbalance"])
+def test_what_moves_does_not_follow_update_ids(spark, sf, tmp_path, name):
+    """Update ids a thousand times as far apart: as many rows shuffled, one a change, and the same levels."""
+    from pyspark.sql import functions as F
+
+    from tidemark.queries import QUERIES
+
+    far, sc = spark.read.parquet(f"{sf}/events.parquet").withColumn("event_id", F.col("event_id") * 1000), spark.sparkContext
+    far.write.parquet(f"{tmp_path}/events.parquet")
+    jvm, store = sc._jvm, sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        got = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (got.apply(i) for i in range(got.size()))}
+
+    def run(path, scale):
+        before = stages()
+        rows = sorted(tuple(r[c] // scale if c == "u" else r[c] for c in r.asDict()) for r in QUERIES[f"book_{name}"](spark, path).collect())
+        return rows, sum(n for k, n in stages().items() if k not in before)
+
+    near, moved = run(sf, 1)
+    # beside the changes, one row a task for the count that looks for large books
+    assert far.count() <= moved <= far.count() + 50
+    spread, again = run(str(tmp_path), 1000)
+    assert again <= far.count() + 50
+    assert repr(spread) == repr(near) and near
