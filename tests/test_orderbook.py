@@ -225,7 +225,7 @@ def test_levels_without_a_price_come_last(spark):
     assert {(r["u"], r["rank"], r["price"]) for r in ob.top_n(lv, 2).collect()} == {(1, 1, None), (2, 1, 101), (2, 2, None), (3, 1, None), (4, 1, None)}
 
 
-@pytest.mark.parametrize("name", ["imbalance", "mid_spread_bps", "microprice", "top_n"])
+@pytest.mark.parametrize("name", ["imbalance", "mid_spread_bps", "microprice", "top_n", "volume_between"])
 def test_what_moves_does_not_follow_update_ids(spark, sf, tmp_path, name):
     """Update ids a thousand times as far apart: as many rows shuffled, one a change, and the same levels."""
     from pyspark.sql import functions as F
